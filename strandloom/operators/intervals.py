@@ -51,16 +51,17 @@ def periods_and_gaps(df: DataFrame, key: str = "seqname", start: str = "start",
     )
     in_tile = Window.partitionBy("k", "t").orderBy("s")
     seen = merged.select("*", F.lead("s").over(in_tile).alias("next_s"), F.lag("s").over(in_tile).alias("prev_s"))
-    whole = seen.where("not from_left and not to_right").selectExpr("'period' as kind", "k", "s", "e")
-    gaps = seen.where("next_s > e + 1").selectExpr("'gap' as kind", "k", "e + 1 as s", "next_s - 1 as e")
-    # at most two rows a tile
-    over_key = Window.partitionBy("k").orderBy("s")
-    edges = seen.where("next_s is null or prev_s is null").select(
+    # the first and last period of each tile, at most two, are put in order over the key; all others stay by tile
+    edge = F.col("next_s").isNull() | F.col("prev_s").isNull()
+    over_key = Window.partitionBy("k", "apart").orderBy("s")
+    seen = seen.withColumn("apart", F.when(~edge, F.col("t"))).select(
         "*",
         F.lead("s").over(over_key).alias("after"),
         F.last(F.when(~F.col("from_left"), F.col("s")), ignorenulls=True).over(over_key.rowsBetween(Window.unboundedPreceding, 0)).alias("began"),
     )
-    stitched = edges.where("from_left and not to_right").selectExpr("'period' as kind", "k", "began as s", "e")
-    between = edges.where("next_s is null and not to_right and after > e + 1").selectExpr("'gap' as kind", "k", "e + 1 as s", "after - 1 as e")
-    out = whole.unionByName(gaps).unionByName(stitched).unionByName(between)
+    ends = ~F.col("to_right")
+    following = F.coalesce("next_s", F.when(edge & ends, F.col("after")))
+    period = F.when(ends, F.struct(F.lit("period").alias("kind"), F.when(F.col("from_left"), F.col("began")).otherwise(F.col("s")).alias("s"), F.col("e").alias("e")))
+    gap = F.when(following > F.col("e") + 1, F.struct(F.lit("gap").alias("kind"), (F.col("e") + 1).alias("s"), (following - 1).alias("e")))
+    out = seen.select("k", F.inline(F.array_compact(F.array(period, gap))))
     return out.select("kind", F.col("k").alias(key), F.col("s").alias("seg_start"), F.col("e").alias("seg_end"))
