@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.encode import decode_ids, encode_texts
 from strandloom.llm.heavy import heavy_candidates, heavy_hitters
+from strandloom.llm.kinds import learn_kinds, text_kinds
 from strandloom.llm.packing import pack_items
+from strandloom.llm.textstats import COMMON_WORDS, text_stats
 from strandloom.session import table
 
 
@@ -52,11 +54,35 @@ def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir, "short").groupBy("bin_id").agg(F.count("*").alias("n_parts"), F.sum("n_tokens").alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_counts, p4_bounds, p6_ids, p6_round_trip, p7_packed, p7_bins)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = learn_kinds(docs, table(spark, sf_dir, "doc_labels"))
+    return text_kinds(docs, rules).where("kind <> 'code'")
+
+
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of each document's whole text."""
+    return text_stats(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_counts, p4_bounds, p6_ids, p6_round_trip, p7_packed, p7_bins, p8_found, p8_stats)}
 
 _HEAVY = "SELECT seq, count(*) AS n FROM reads WHERE seq <> '' GROUP BY seq HAVING count(*) * 200 >= (SELECT count(*) FROM reads WHERE seq <> '')"
 
+_COMMON = ", ".join(f"'{w}'" for w in COMMON_WORDS)
+_STATS = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \\t\\n\\r]+'), lambda x: x <> '') AS w,
+             list_filter(list_transform(string_split(t, chr(10)), lambda x: rtrim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS l FROM t)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  CASE WHEN len(w) > 0 THEN round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) ELSE 0.0 END AS mean_word_length,
+  CASE WHEN length(t) > 0 THEN round((length(t) - length(regexp_replace(t, '[!-/:-@\\[-`{{-~]', '', 'g'))) / length(t), 6) ELSE 0.0 END AS symbol_ratio,
+  CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: right(x, 1) IN ('.', '!', '?', ':', ';'))) / len(l), 6) ELSE 0.0 END AS end_punct_share,
+  CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: lower(trim(x, '.,;:!?()"''`*')) IN ({_COMMON}))) / len(w), 6) ELSE 0.0 END AS common_share
+FROM w"""
+
 ORACLES = {
+    "p8_stats": _STATS,
     "p4_found": f"SELECT seq FROM ({_HEAVY})",
     "p4_counts": f"SELECT seq, n AS n_rows FROM ({_HEAVY})",
     "p6_round_trip": "SELECT doc_id, true AS same FROM documents",
