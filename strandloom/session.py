@@ -44,7 +44,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
     named = sc.getConf().get("spark.checkpoint.dir")
-    if not named and not sc.master.startswith(("local[", "local")):
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
