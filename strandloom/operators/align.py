@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.session import cut_lineage
+
 #: Cells of all matrices that are held at once.
 CELLS = 24_000_000
 
@@ -149,7 +151,10 @@ RESULT = T.StructType([
 
 def align_columns(df: DataFrame, keep: list[str], first: str, second: str, **options) -> DataFrame:
     """The columns ``keep`` and the alignment of two columns, row by row: see ``align_pairs``. Null where one is null."""
-    rows = df.select(*keep, F.col(first).alias("_x"), F.col(second).alias("_y"))
+    spark = df.sparkSession
+    # filling matrices takes far longer than moving the rows: a fixed number of even partitions, which isn't coalesced by size
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = df.select(*keep, F.col(first).alias("_x"), F.col(second).alias("_y")).repartition(tasks)
     schema = T.StructType([*rows.select(*keep).schema.fields, *RESULT.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +226,7 @@ def multi_alignment(aligned: DataFrame, subjects: DataFrame, by: list[str], name
     """
     from pyspark.sql import Window
 
-    placed = placed_on_subject(aligned, by, name, pattern, subject, start)
+    placed = cut_lineage(placed_on_subject(aligned, by, name, pattern, subject, start))  # read twice, and dear to make
     own = subjects.where(F.length("subject_seq") > 0).select(*by, F.posexplode(F.split("subject_seq", "")).alias("_i", "seq")).where("seq <> ''").select(*by, F.lit("subject").alias(name), (F.col("_i") + 1).alias("subject_pos"), F.lit(0).alias("insert_no"), "seq")
     frame = placed.select(*by, "subject_pos", "insert_no").unionByName(own.select(*by, "subject_pos", "insert_no")).distinct()
     frame = frame.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy("subject_pos", "insert_no")))
