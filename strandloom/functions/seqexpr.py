@@ -44,13 +44,15 @@ def phred(qual: Column | str, offset: int = 33) -> Column:
 
 def quality_stats(qual: Column | str, below: int = 30) -> list[Column]:
     """min_qual, mean_qual and n_below of a quality string; null where it is empty or null."""
-    scores = phred(qual)
-    some = F.size(scores) > 0
-    total = F.aggregate(scores, F.lit(0), lambda a, x: a + x)
+    q = _col(qual)
+    letters = F.split(q, "")  # one walk over the letters; the rest works on the string
+    some = F.length(q) > 0
+    total = F.aggregate(letters, F.lit(0), lambda a, x: a + F.ascii(x)) - 33 * F.length(q)
+    low = f"[^{chr(33 + below)}-~]"
     return [
-        F.when(some, F.array_min(scores)).alias("min_qual"),
-        F.when(some, total / F.size(scores)).alias("mean_qual"),
-        F.when(some, F.size(F.filter(scores, lambda x: x < below))).alias("n_below"),
+        F.when(some, F.ascii(F.array_min(F.array_compact(F.array_remove(letters, "")))) - 33).alias("min_qual"),
+        F.when(some, total / F.length(q)).alias("mean_qual"),
+        F.when(some, F.length(q) - F.length(F.regexp_replace(q, low, ""))).alias("n_below"),
     ]
 
 

@@ -27,7 +27,10 @@ def edit_join(left: DataFrame, right: DataFrame, left_str: str, right_str: str,
     k, parts = most, most + 1
     lb = left_block if left_block is not None else F.lit("")
     rb = right_block if right_block is not None else F.lit("")
-    a = left.where(F.col(left_str).isNotNull()).distinct().withColumn("_block", lb.cast("string"))
+    # each string makes many keys: even partitions of a fixed number, which aren't coalesced by the few bytes they hold before
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    a = left.where(F.col(left_str).isNotNull()).distinct().repartition(tasks).withColumn("_block", lb.cast("string"))
     b = right.where(F.col(right_str).isNotNull()).distinct().withColumn("_rblock", rb.cast("string"))
     b = b.where("_rblock is not null").withColumn("_len", F.length(right_str))
     kinds = []

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import seqexpr as S
 from strandloom.operators import aggregates as G
 from strandloom.operators import fuzzy, positions, reads
-from strandloom.session import table
+from strandloom.session import cut_lineage, table
 
 
 def _reads(spark: SparkSession, d: str) -> DataFrame:
@@ -157,8 +157,9 @@ def near_parts(spark: SparkSession, d: str) -> DataFrame:
 
 def near_cdr3(spark: SparkSession, d: str) -> DataFrame:
     """Translated beginnings of the reads near each other: first mates as TRA, second as TRB, against those that occur more than once."""
-    t = _reads(spark, d).where("length(seq) >= 36").select(F.when(F.col("mate") == "r1", "TRA").otherwise("TRB").alias("chain"), S.translate_dna(F.substring("seq", 1, 36)).alias("cdr3"))
-    known = t.groupBy("chain", "cdr3").agg(F.count("*").alias("n")).where("n > 1").select("chain", "cdr3")
+    dna = _reads(spark, d).where("length(seq) >= 36").groupBy(F.when(F.col("mate") == "r1", "TRA").otherwise("TRB").alias("chain"), F.substring("seq", 1, 36).alias("dna")).agg(F.count("*").alias("n"))
+    t = cut_lineage(dna.groupBy("chain", S.translate_dna("dna").alias("cdr3")).agg(F.sum("n").alias("n")))
+    known, t = t.where("n > 1").select("chain", "cdr3"), t.select("chain", "cdr3")
     return fuzzy.cdr3_hits(t, known, 1, (False, True))
 
 
