@@ -60,7 +60,7 @@ def with_rank(df: DataFrame, order: str, out: str, by: list[str] | None = None,
         return df.withColumn(out, F.lit(None).cast("bigint"))
     width = max(1, (bounds["hi"] - bounds["lo"]) // parts + 1)
     rows = df.withColumn("_block", F.floor((F.col(order) - F.lit(bounds["lo"])) / F.lit(width)).cast("bigint"))
-    sizes = rows.groupBy(*by, "_block").agg(F.count("*").alias("_size"))
+    sizes = rows.where("_block is not null").groupBy(*by, "_block").agg(F.count("*").alias("_size"))
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_block").alias("_b"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
     placed = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_block").orderBy(order)))

@@ -33,10 +33,10 @@ def join_positions(long: DataFrame, by: list[str], inner: str = "-", outer: str
 
 def longest_as_reference(long: DataFrame, by: list[str], name: str) -> DataFrame:
     """Rows (*by, ref): the sequence with most letters; an alignment in which several have as many fails."""
-    n = long.where("seq is not null").groupBy(*by, name).agg(F.count("*").alias("n"))
-    top = n.groupBy(*by).agg(F.max("n").alias("m"))
-    best = n.join(top, by).where("n = m").groupBy(*by).agg(F.min(name).alias("ref"), F.count("*").alias("k"))
-    return best.withColumn("ref", F.when(F.col("k") > 1, F.raise_error(F.lit("no single longest sequence"))).otherwise(F.col("ref"))).drop("k")
+    n = long.where("seq is not null").groupBy(*by, name).agg(F.count("*").alias("_n"))
+    top = n.groupBy(*by).agg(F.max("_n").alias("_m"))
+    best = n.join(top, by).where("_n = _m").groupBy(*by).agg(F.min(name).alias("_ref"), F.count("*").alias("_ties"))
+    return best.select(*by, F.when(F.col("_ties") > 1, F.raise_error(F.lit("no single longest sequence"))).otherwise(F.col("_ref")).alias("ref"))
 
 
 def _with_reference(long: DataFrame, by: list[str], name: str, ref: Column) -> DataFrame:

@@ -214,7 +214,7 @@ def parse_genbank(text: str) -> tuple[list[tuple], str]:
 
 def read_genbank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(features, sequences) of flat files: rows (id, feature, subfeature, ranges, complement, value) and (id, seq)."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     records = files.select(F.explode(F.split("value", r"(?m)^//\s*$")).alias("record")).where(F.trim("record") != "")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
