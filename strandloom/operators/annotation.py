@@ -219,3 +219,32 @@ def rebase_to_gene(rows: DataFrame, left: int = 0, right: int = 0) -> DataFrame:
     """Rows with positions counted from their gene's first base, ``left`` bases more before it, and the stretch to cut from the sequence."""
     spans = gene_spans(rows).select("seqname", "gene_id", F.greatest(F.col("start") - left, F.lit(1)).alias("cut_start"), (F.col("end") + right).alias("cut_end"))
     return rows.join(spans, ["seqname", "gene_id"]).withColumn("new_start", F.col("start") - F.col("cut_start") + 1).withColumn("new_end", F.col("end") - F.col("cut_start") + 1)
+
+
+def prepare_annotation(
+    gtf: DataFrame, keys: list[str] | None = None, rename: dict[str, str] | None = None, remove_exons: bool = False, to_exon: list[str] | None = None, exons_only: bool = False, strict_names: bool = False,
+    prefix: str = "", clean: bool = True, replace_names: dict[str, str] | None = None, rotate: tuple[int, int] | None = None, one_exon: bool = False, merge: bool = False, need_exon: bool = False, as_text: bool = False,
+) -> DataFrame:
+    """Annotation rows brought into order, step by step: features filtered and relabelled, attributes parsed, renamed and kept, gene names filled, replaced, cleaned and made
+    unique, positions rotated by (cut, length), exons of a transcript made one, overlapping rows merged, rows without an exon dropped, and keys written back as attribute text.
+    """
+    keys = keys or ["gene_id", "gene_name", "transcript_id", "transcript_name", "exon_number"]
+    rows = with_attributes(relabel_features(gtf, remove_exons, to_exon, exons_only), keys, rename)
+    if {"gene_id", "gene_name"} <= set(rows.columns):
+        rows = fill_gene_names(rows, strict_names)
+        name = F.col("gene_name")
+        for old, new in (replace_names or {}).items():
+            name = F.when(name == old, new).otherwise(name)
+        rows = rows.withColumn("gene_name", clean_names(name, prefix) if clean else name)
+        rows = fix_duplicate_names(rows)
+    if rotate:
+        rows = rotate_rows(rows.where("start is not null and end is not null and start <= end"), *rotate)
+    if one_exon:
+        return aggregate_exons(rows)
+    if merge:
+        return merge_overlapping(rows, [k for k in keys if k in rows.columns])
+    if need_exon:
+        rows = keep_with_exon(rows)
+    if as_text:
+        rows = rows.withColumn("attribute", key_value_column(rows, [k for k in keys if k in rows.columns]))
+    return rows

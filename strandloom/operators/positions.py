@@ -148,3 +148,19 @@ def regions_from_chunks(regions: DataFrame, chunks: DataFrame, by: list[str], si
     b = F.least(F.col("end") - F.col("chunk_no") * size, F.lit(size))
     cut = parts.select(*by, "chunk_no", F.substr(F.col("seq"), a.cast("int"), (b - a + 1).cast("int")).alias("_p"))
     return cut.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "_p"))), lambda x: x["_p"]), "").alias("seq"))
+
+
+def consensus(long: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (*by, seq): the most frequent letter of each position, of equals the first in order; positions without a letter are left out."""
+    letters = long.where("seq is not null").groupBy(*by, "position").agg(F.mode("seq", True).alias("_c"))
+    return letters.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "_c"))), lambda x: x["_c"]), "").alias("seq"))
+
+
+def covered_positions(long: DataFrame, by: list[str], name: str, ref: Column) -> DataFrame:
+    """The alignment without positions at which only the reference has a letter, the rest numbered anew from 1."""
+    from pyspark.sql import Window
+
+    used = long.where((F.col(name) != ref) & F.col("seq").isNotNull()).select(*by, "position").distinct()
+    w = Window.partitionBy(*by).orderBy("position") if by else Window.orderBy("position")
+    used = used.withColumn("_new", F.row_number().over(w))
+    return long.join(used, [*by, "position"]).select(*by, name, F.col("_new").alias("position"), "seq")

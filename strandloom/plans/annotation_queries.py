@@ -97,11 +97,16 @@ def gtf_rebased(spark: SparkSession, d: str) -> DataFrame:
     return A.rebase_to_gene(_rows(spark, d), 10, 10).select("line_no", "gene_id", "cut_start", "cut_end", "new_start", "new_end")
 
 
+def gtf_prepared(spark: SparkSession, d: str) -> DataFrame:
+    """Names filled, cleaned and made unique, rows without an exon dropped, keys written as text."""
+    return A.prepare_annotation(_gtf(spark, d), KEYS[:3], to_exon=["CDS"], need_exon=True, as_text=True).select("line_no", "feature", "gene_name", "attribute")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         gtf_attributes, gtf_wide, gtf_filter, gtf_relabel, gtf_rename, gtf_with_exon, gtf_filled_names, gtf_fixed_duplicates, gtf_aggregated_exons, gtf_gene_spans,
-        gtf_merged_overlaps, gtf_introns, gtf_exon_sums, gtf_best_cuts, gtf_wrapped_genes, gtf_rotated, gtf_key_values, gtf_coverage_runs, gtf_rebased,
+        gtf_merged_overlaps, gtf_introns, gtf_exon_sums, gtf_best_cuts, gtf_wrapped_genes, gtf_rotated, gtf_key_values, gtf_coverage_runs, gtf_rebased, gtf_prepared,
     )
 }
 
@@ -137,6 +142,14 @@ def _list_of(c: str) -> str:
 
 
 ORACLES = {
+    "gtf_prepared": f"""WITH {_R}, c AS (SELECT gene_id, gene_name, row_number() OVER (PARTITION BY gene_id ORDER BY count(*) DESC, gene_name) AS k FROM r WHERE gene_name IS NOT NULL AND gene_id IS NOT NULL GROUP BY 1, 2),
+        f AS (SELECT line_no, CASE WHEN feature = 'CDS' THEN 'exon' ELSE feature END AS feature, r.gene_id, transcript_id, regexp_replace(regexp_replace(coalesce(r.gene_name, c.gene_name), '[^A-Za-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS gene_name FROM r LEFT JOIN c ON r.gene_id = c.gene_id AND c.k = 1),
+        q AS (SELECT gene_name, gene_id, min(line_no) AS f FROM f WHERE gene_name IS NOT NULL AND gene_id IS NOT NULL GROUP BY 1, 2),
+        k AS (SELECT *, count(*) OVER (PARTITION BY gene_name) AS c, row_number() OVER (PARTITION BY gene_name ORDER BY f, gene_id) AS k FROM q),
+        n AS (SELECT f.line_no, f.feature, f.gene_id, f.transcript_id, CASE WHEN k.c > 1 THEN f.gene_name || '--' || k.k ELSE f.gene_name END AS gene_name FROM f LEFT JOIN k ON f.gene_name = k.gene_name AND f.gene_id = k.gene_id),
+        e AS (SELECT transcript_id, gene_id FROM n WHERE feature = 'exon' AND transcript_id IS NOT NULL)
+        SELECT line_no, feature, gene_name, 'gene_id "' || coalesce(gene_id, 'NA') || '"; gene_name "' || coalesce(gene_name, 'NA') || '"; transcript_id "' || coalesce(transcript_id, 'NA') || '"; ' AS attribute FROM n
+        WHERE feature IS DISTINCT FROM 'gene' AND transcript_id IN (SELECT transcript_id FROM e) OR feature = 'gene' AND gene_id IN (SELECT gene_id FROM e WHERE gene_id IS NOT NULL)""",
     "gtf_attributes": f"WITH {_P} SELECT line_no, CAST(pos AS BIGINT) AS pos, x.k AS attribute, x.v AS value FROM (SELECT line_no, unnest(a) AS x, unnest(range(1, len(a) + 1)) AS pos FROM p)",
     "gtf_wide": f"WITH {_R} SELECT * FROM r",
     "gtf_filter": """SELECT line_no, seqname, source, feature, "start", "end", score, strand, frame FROM gtf WHERE seqname IN ('chr1', 'chr2') AND feature IN ('exon', 'gene')

@@ -150,6 +150,15 @@ def pos_cigar(spark: SparkSession, d: str) -> DataFrame:
     return positions.cigar_positions(r, ["read_ind"], "cigar", "start", "r1_seq")
 
 
+def pos_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent base of each position over all first and over all second mates."""
+    return positions.consensus(_long(spark, d).drop("read_ind"), ["seq_name"])
+
+
+def pos_covered(spark: SparkSession, d: str) -> DataFrame:
+    return positions.covered_positions(_long(spark, d), ["read_ind"], "seq_name", F.lit("r1"))
+
+
 def near_parts(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_name", "p_type").distinct()
     return fuzzy.edit_join(p, p.select(F.col("p_name").alias("q_name"), F.col("p_type").alias("q_type")), "p_name", "q_name", 3, F.col("p_type"), F.col("q_type"))
@@ -167,7 +176,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         seq_revcomp, seq_translated, seq_quality, seq_ends, seq_wrapped, seq_longest_run, seq_types, seq_rulers, seq_duplicates, seq_collapsed, reads_pairs, reads_long, reads_acgt, reads_good_quality, reads_qc,
-        reads_sampled, reads_matched, reads_matched_two_off, reads_match_stats, reads_index_sets, reads_report, pos_exploded, pos_joined, pos_compared, pos_compared_both, pos_labels, pos_summary, pos_cigar,
+        reads_sampled, reads_matched, reads_matched_two_off, reads_match_stats, reads_index_sets, reads_report, pos_exploded, pos_joined, pos_compared, pos_compared_both, pos_labels, pos_summary, pos_cigar, pos_consensus, pos_covered,
         near_parts, near_cdr3,
     )
 }
@@ -246,6 +255,10 @@ ORACLES = {
         i AS (SELECT read_ind, s, n, CAST(unnest(range(1, n + 1)) AS INTEGER) AS i FROM q)
         SELECT read_ind, CAST(CASE WHEN i <= 10 THEN 97 + i ELSE 96 + i END AS INTEGER) AS position, s[i] AS seq FROM i WHERE i <= 10 OR i > 13
         UNION ALL SELECT read_ind, unnest([108, 109]), '-' FROM q""",
+    "pos_consensus": f"""WITH {_LONG}, k AS (SELECT seq_name, position, seq, row_number() OVER (PARTITION BY seq_name, position ORDER BY count(*) DESC, seq) AS k FROM l WHERE seq IS NOT NULL GROUP BY 1, 2, 3)
+        SELECT seq_name, string_agg(seq, '' ORDER BY position) AS seq FROM k WHERE k = 1 GROUP BY 1""",
+    "pos_covered": f"""WITH {_LONG}, u AS (SELECT read_ind, position, CAST(row_number() OVER (PARTITION BY read_ind ORDER BY position) AS INTEGER) AS n FROM (SELECT DISTINCT read_ind, position FROM l WHERE seq_name <> 'r1' AND seq IS NOT NULL))
+        SELECT read_ind, seq_name, n AS position, seq FROM l JOIN u USING (read_ind, position)""",
     "near_parts": """WITH p AS (SELECT DISTINCT p_name, p_type FROM part) SELECT a.p_name, a.p_type, b.p_name AS q_name, b.p_type AS q_type, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS lv
         FROM p a JOIN p b ON a.p_type = b.p_type AND levenshtein(a.p_name, b.p_name) <= 3""",
     "near_cdr3": f"""WITH t AS (SELECT CASE WHEN mate = 'r1' THEN 'TRA' ELSE 'TRB' END AS chain, {_AA.format(x="seq[1:36]")} AS cdr3 FROM reads WHERE length(seq) >= 36),

@@ -98,3 +98,11 @@ def rotate_genome(sequences: DataFrame, cut: int, reverse: bool = False) -> Data
 
     s = rotate_sequence(F.col("seq"), cut)
     return sequences.withColumn("seq", revcomp(s) if reverse else s)
+
+
+def prepare_reference(spark: SparkSession, fasta_path: str, gtf_path: str, folder: str) -> None:
+    """A genome and its annotation stored for random access: sequence chunks and lengths, rows by sequence, names of genes."""
+    from strandloom.sources.fasta import read_fasta, store_genome
+
+    store_genome(read_fasta(spark, fasta_path).select("seqname", "seq"), f"{folder}/genome")
+    store_gtf(read_gtf(spark, gtf_path), f"{folder}/genes")
