@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -115,6 +116,13 @@ class Vocabulary:
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a file, loaded once per worker. Where the path isn't there, the installed package of public tokenizers is asked for the file."""
+    if not os.path.exists(path):
+        try:
+            import public_tokenizers
+        except ImportError:
+            raise FileNotFoundError(path) from None
+        path = public_tokenizers.path(os.path.basename(path))
     return Vocabulary(path)
 
 
