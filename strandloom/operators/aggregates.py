@@ -129,6 +129,18 @@ def constant_columns(df: DataFrame, by: list[str], columns: list[str]) -> DataFr
 
 
 def exact_sample(df: DataFrame, p: float, key: str, seed: int = 42) -> DataFrame:
-    """p > 1: that many rows (or all); p < 1: that share, rounded. The sample is exact and the same for the same seed and keys."""
-    n = int(p) if p > 1 else round(df.count() * p)
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """p > 1: that many rows (or all); p < 1: that share, rounded. The sample is exact and the same for the same seed and keys.
+
+    Rows are counted by 2^16 ranges of a hash of the key, the only numbers that come to the driver; whole ranges are taken, and of the last one the first rows by hash.
+    """
+    h = F.xxhash64(F.lit(seed), F.col(key))
+    rows = df.withColumn("_h", h).withColumn("_b", F.shiftrightunsigned(h, 48))
+    counts = sorted((r["_b"], r["count"]) for r in rows.groupBy("_b").count().collect())
+    total = sum(n for _, n in counts)
+    left = min(total, int(p)) if p > 1 else round(total * p)
+    for b, n in counts:
+        if n > left:
+            part = rows.where(F.col("_b") == b).orderBy("_h", key).limit(left)
+            return rows.where(F.col("_b") < b).unionByName(part).drop("_h", "_b")
+        left -= n
+    return df

@@ -27,7 +27,9 @@ def join_positions(long: DataFrame, by: list[str], inner: str = "-", outer: str
     group = by[:-1]
     width = long.groupBy(*group).agg(F.max("position").alias("_w")) if group else long.agg(F.max("position").alias("_w"))
     joined = own.join(width, group) if group else own.join(F.broadcast(width), F.lit(True))  # one row
-    filled = F.transform(F.sequence(F.col("_a"), F.col("_b")), lambda i: F.coalesce(F.try_element_at(F.map_from_entries("_l"), i), F.lit(inner)))
+    letters = F.array_sort("_l")
+    before = F.concat(F.array(F.col("_a") - 1), F.transform(letters, lambda x: x["position"]))  # one longer than the letters
+    filled = F.zip_with(letters, before, lambda x, b: F.concat(F.repeat(F.lit(inner), x["position"] - b - 1), x["seq"]))
     return joined.select(*by, F.concat(F.repeat(F.lit(outer), F.col("_a") - 1), F.array_join(filled, ""), F.repeat(F.lit(outer), F.col("_w") - F.col("_b"))).alias("seq"))
 
 

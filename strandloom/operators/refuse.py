@@ -89,7 +89,9 @@ def refused_lines(df: DataFrame, row_id: str, line: str, columns: list[str], rul
         if r in known:
             values, name = reference[r.test[1:]]
             values = pick(values, member=name).where("member is not null").distinct().select(F.col("member").cast("string").alias(f"_m{i}"))
-            checked = checked.join(values, (F.col("value") == F.col(f"_m{i}")) & (F.col("rank") == i + 3), "left")
+            # where the table is too large to be broadcast, cells of other rules are spread instead of meeting in one partition
+            needed = F.when(F.col("rank") == i + 3, F.col("value")).otherwise(F.concat(F.lit("\0"), F.col("h").cast("string"), F.col("c").cast("string")))
+            checked = checked.withColumn("_key", needed).join(values, F.col("_key") == F.col(f"_m{i}"), "left").drop("_key")
             fails = F.when(F.col("rank") == i + 3, F.col(f"_m{i}").isNull()).otherwise(fails)
     rank = F.coalesce(F.col("shape"), F.when(fails, F.col("rank")))
     sizes = [F.max(F.when(F.col("c") == i, F.length("value"))).alias(f"n{i}") for i in range(len(columns))]
