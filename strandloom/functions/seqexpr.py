@@ -167,3 +167,9 @@ def parse_region(query: Column) -> Column:
         F.when(good, F.get(parts, F.lit(1)).try_cast("bigint")).alias("first"),
         F.when(good, F.get(parts, F.lit(2)).try_cast("bigint")).alias("last"),
     )
+
+
+def valid_letters(seq: Column | str, kind: str) -> Column:
+    """Whether a sequence keeps to the letters of DNA, RNA or AA, ambiguity codes, gaps and masks included; null for null."""
+    letters = {"DNA": "ACGTMRWSYKVHDBN+.-", "RNA": "ACGUMRWSYKVHDBN+.-", "AA": "ARNDCQEGHILKMFPSTWYVUOBJZX*+.-"}[kind]
+    return F.upper(_col(seq)).rlike(rf"\A[{letters}]*\z")

@@ -234,3 +234,18 @@ def multi_alignment(aligned: DataFrame, subjects: DataFrame, by: list[str], name
     every = placed.unionByName(own).unionByName(gaps)
     out = every.join(frame, [*by, "subject_pos", "insert_no"])
     return out.select(*by, name, "position", F.when(F.col("insert_no") == 0, F.col("subject_pos")).alias("subject_pos"), "seq")
+
+
+def segment_span(seqs: DataFrame, refs: DataFrame, seq: str = "seq", v: str = "v_gene", j: str = "j_gene", **options) -> DataFrame:
+    """Rows (v_gene, j_gene, seq, v_allele, j_allele, v_start, v_end, j_start, j_end, v_to_j): for each pair of segments the most frequent sequence (of equals the first in
+    order), where the best allele of either segment lies in it, and the stretch from the first base of the one to the last of the other. refs: gene, allele, ref_seq."""
+    pairs = seqs.where(F.col(v).isNotNull() & F.col(j).isNotNull() & (F.length(seq) > 0)).groupBy(F.col(v).alias("v_gene"), F.col(j).alias("j_gene")).agg(F.mode(seq, True).alias("seq"))
+    pairs = cut_lineage(pairs)
+    out = pairs
+    for side, gene in (("v", "v_gene"), ("j", "j_gene")):
+        best = best_alleles(pairs.withColumn("_g", F.col(gene)), refs, ["v_gene", "j_gene", "seq"], "seq", "_g", **options).select("v_gene", "j_gene", F.col("allele").alias(f"{side}_allele"))
+        chosen = out.join(best, ["v_gene", "j_gene"]).join(refs.select(F.col("allele").alias(f"{side}_allele"), F.col("ref_seq").alias("_ref")), f"{side}_allele")
+        keep = [c for c in chosen.columns if c != "_ref"]
+        placed = align_columns(chosen, keep, "seq", "_ref", mode="local", **options)
+        out = placed.select(*keep, F.col("first_start").alias(f"{side}_start"), F.col("first_end").alias(f"{side}_end"))
+    return out.withColumn("v_to_j", F.substr(F.col("seq"), F.col("v_start"), F.greatest(F.lit(0), F.col("j_end") - F.col("v_start") + 1)))

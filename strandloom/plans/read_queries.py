@@ -58,6 +58,10 @@ def seq_types(spark: SparkSession, d: str) -> DataFrame:
     return _reads(spark, d).where("sample is not null").groupBy("sample").agg(S.guess_type("seq").alias("type"))
 
 
+def seq_valid(spark: SparkSession, d: str) -> DataFrame:
+    return _reads(spark, d).select("read_ind", "mate", S.valid_letters("seq", "DNA").alias("dna"), S.valid_letters("seq", "RNA").alias("rna"), S.valid_letters("seq", "AA").alias("aa"))
+
+
 def seq_rulers(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).where("r1_seq is not null and r2_seq is not null and length(r1_seq) = length(r2_seq)").select("read_ind", S.match_symbols("r1_seq").alias("ruler"), S.dots_for_matches(F.col("r2_seq"), F.col("r1_seq")).alias("dotted"))
 
@@ -175,7 +179,7 @@ def near_cdr3(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        seq_revcomp, seq_translated, seq_quality, seq_ends, seq_wrapped, seq_longest_run, seq_types, seq_rulers, seq_duplicates, seq_collapsed, reads_pairs, reads_long, reads_acgt, reads_good_quality, reads_qc,
+        seq_revcomp, seq_translated, seq_quality, seq_ends, seq_wrapped, seq_longest_run, seq_types, seq_valid, seq_rulers, seq_duplicates, seq_collapsed, reads_pairs, reads_long, reads_acgt, reads_good_quality, reads_qc,
         reads_sampled, reads_matched, reads_matched_two_off, reads_match_stats, reads_index_sets, reads_report, pos_exploded, pos_joined, pos_compared, pos_compared_both, pos_labels, pos_summary, pos_cigar, pos_consensus, pos_covered,
         near_parts, near_cdr3,
     )
@@ -213,6 +217,8 @@ ORACLES = {
         SELECT read_ind, mate, p[k] AS run, CAST(coalesce(list_sum(n[1:k-1]), 0) + k AS INTEGER) AS first, CAST(coalesce(list_sum(n[1:k-1]), 0) + k - 1 + m AS INTEGER) AS last FROM c""",
     "seq_types": """SELECT sample, CASE WHEN bool_and(regexp_full_match(upper(seq), '[ACGTMRWSYKVHDBN+.-]*')) THEN 'DNA' WHEN bool_and(regexp_full_match(upper(seq), '[ACGUMRWSYKVHDBN+.-]*')) THEN 'RNA'
         WHEN bool_and(regexp_full_match(upper(seq), '[A-Z*+.-]*')) THEN 'AA' END AS type FROM reads WHERE sample IS NOT NULL GROUP BY 1""",
+    "seq_valid": """SELECT read_ind, mate, regexp_full_match(upper(seq), '[ACGTMRWSYKVHDBN+.-]*') AS dna, regexp_full_match(upper(seq), '[ACGUMRWSYKVHDBN+.-]*') AS rna,
+        regexp_full_match(upper(seq), '[ARNDCQEGHILKMFPSTWYVUOBJZX*+.-]*') AS aa FROM reads""",
     "seq_rulers": f"""WITH {_PAIRS} SELECT read_ind, array_to_string(list_transform(range(1, length(r1_seq) + 1), lambda i: CASE WHEN r1_seq[i] = '-' THEN ' ' WHEN length(replace(r1_seq[1:i], '-', '')) % 5 = 0 THEN '|' ELSE '.' END), '') AS ruler,
         array_to_string(list_transform(range(1, length(r2_seq) + 1), lambda i: CASE WHEN r1_seq[i] = r2_seq[i] THEN '.' ELSE r2_seq[i] END), '') AS dotted FROM p WHERE {_SAME} AND length(r1_seq) = length(r2_seq)""",
     "seq_duplicates": "SELECT seq, count(*) AS n, min(read_ind) AS first_read FROM reads WHERE seq <> '' GROUP BY 1",

@@ -13,7 +13,7 @@ from strandloom.operators import aggregates as G
 from strandloom.operators import annotation as A
 from strandloom.operators import clonotypes as C
 from strandloom.operators import fuzzy, positions, reads, transcripts
-from strandloom.operators.align import align_columns, align_pairs, best_alleles, multi_alignment
+from strandloom.operators.align import align_columns, align_pairs, best_alleles, multi_alignment, segment_span
 from strandloom.plans import plotdata
 from strandloom.sources import fasta, files
 from strandloom.sources import gtf as gtf_files
@@ -193,6 +193,13 @@ def test_multi_alignment(spark):
     assert (best.allele, best.score) == ("TRAV1-1*02", 8.0)
 
 
+def test_segment_span(spark):
+    refs = spark.createDataFrame([("TRAV1", "TRAV1*01", "ACGTACGTAC"), ("TRAV1", "TRAV1*02", "ACGTTCGTAC"), ("TRAJ2", "TRAJ2*01", "GGCCGGCC")], "gene string, allele string, ref_seq string")
+    seqs = spark.createDataFrame([("TTACGTTCGTACAAAGGCCGGCCTT", "TRAV1", "TRAJ2")] * 2 + [("AAAA", "TRAV1", "TRAJ2"), (None, "TRAV1", "TRAJ2")], "seq string, v_gene string, j_gene string")
+    r = segment_span(seqs, refs, mismatch=-3, gap_open=-10, gap_extend=-4).collect()
+    assert [(x.v_allele, x.v_start, x.v_end, x.j_start, x.j_end, x.v_to_j) for x in r] == [("TRAV1*02", 3, 12, 16, 23, "ACGTTCGTACAAAGGCCGGCC")]
+
+
 def test_match_with_mismatches_brute_force(spark):
     rng = random.Random(6)
     refs = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(8)]
