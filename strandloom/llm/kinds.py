@@ -54,3 +54,14 @@ def text_kinds(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """
     texts = pick(docs, doc_id="doc_id", text="text").where(F.length("text") >= LEAST_CHARS)
     return text_features(texts, ["doc_id"]).select("doc_id", F.expr(case_sql(rules, KINDS[-1])).alias("kind"))
+
+
+def describe_texts(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rows (doc_id, n_lines, mean_words, mean_word_length, symbol_share, end_punct_share, common_share, distinct_share, kind): figures of every text's body, shares of characters
+    (of words where words are counted); kind is null for texts shorter than ``LEAST_CHARS``. Null and empty texts have the figures of an empty body."""
+    texts = pick(docs, doc_id="doc_id", text="text").select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    kind = F.when(F.col("size") >= LEAST_CHARS, F.expr(case_sql(rules, KINDS[-1])))
+    return text_features(texts, ["doc_id", "size"]).select(
+        "doc_id", F.col("lines").cast("bigint").alias("n_lines"), "mean_words", F.col("word_length").alias("mean_word_length"), F.col("signs").alias("symbol_share"), F.col("ends_sentence").alias("end_punct_share"),
+        F.col("common").alias("common_share"), F.col("distinct_words").alias("distinct_share"), kind.alias("kind"),
+    )

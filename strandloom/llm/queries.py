@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.encode import decode_ids, encode_texts
 from strandloom.llm.heavy import heavy_candidates, heavy_hitters
-from strandloom.llm.kinds import learn_kinds, text_kinds
+from strandloom.llm.kinds import describe_texts, learn_kinds, text_kinds
 from strandloom.llm.packing import pack_items
 from strandloom.llm.textstats import COMMON_WORDS, text_stats
 from strandloom.session import table
@@ -41,7 +41,7 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _packed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     row = table(spark, sf_dir, "containers").where(F.col("container_kind") == kind).first()
     sizes = encode_texts(table(spark, sf_dir, "documents"), ["doc_id"], path=f"/opt/tokenizers/{row['tokenizer']}.tiktoken", out="count")
-    return pack_items(sizes, "doc_id", "n_tokens", row["capacity"])
+    return pack_items(sizes, "doc_id", "n_tokens", row["capacity"]).withColumn("capacity", F.lit(row["capacity"]))
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,14 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_stats(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_counts, p4_bounds, p6_ids, p6_round_trip, p7_packed, p7_bins, p8_found, p8_stats)}
+def p8_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of each document's text below its header and, from 200 characters, its kind, from one pass after the rules are learned."""
+    docs = table(spark, sf_dir, "documents")
+    rules = learn_kinds(docs, table(spark, sf_dir, "doc_labels"))
+    return describe_texts(docs, rules)
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_counts, p4_bounds, p6_ids, p6_round_trip, p7_packed, p7_bins, p8_found, p8_stats, p8_described)}
 
 _HEAVY = "SELECT seq, count(*) AS n FROM reads WHERE seq <> '' GROUP BY seq HAVING count(*) * 200 >= (SELECT count(*) FROM reads WHERE seq <> '')"
 
