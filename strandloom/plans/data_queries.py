@@ -42,7 +42,7 @@ def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_loaded": p5_loaded}
 
 _ISLANDS = """
-WITH r AS (SELECT seqname, "start" AS s, "end" AS e FROM gtf
+WITH r AS (SELECT DISTINCT seqname, "start" AS s, "end" AS e FROM gtf
            WHERE feature = 'exon' AND seqname IS NOT NULL AND "start" IS NOT NULL AND "end" IS NOT NULL AND "start" <= "end"),
 m AS (SELECT *, max(e) OVER (PARTITION BY seqname ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM r),
 g AS (SELECT *, sum(CASE WHEN pm IS NULL OR s > pm THEN 1 ELSE 0 END) OVER (PARTITION BY seqname ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m),
