@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def rotate_position(position: Column, cut: int, length: int) -> Column:
+def rotate_position(position: Column, cut: int, length: int | Column) -> Column:
     """The position after the circle was opened so that ``cut`` is 1."""
     return F.pmod(position - cut, F.lit(length)) + 1
 

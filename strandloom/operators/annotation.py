@@ -182,7 +182,13 @@ def wrapped_genes(rows: DataFrame) -> DataFrame:
     return step.groupBy("gene_id").agg(F.bool_or(against).alias("wraps")).where("wraps").select("gene_id")
 
 
-def rotate_rows(rows: DataFrame, cut: int, length: int) -> DataFrame:
+def with_circle(rows: DataFrame, length: int) -> DataFrame:
+    """The rows with ``circle``, the length of their sequence: the given one, or the greatest end where rows reach beyond it."""
+    ends = rows.groupBy(F.col("seqname").alias("_name")).agg(F.greatest(F.lit(length).cast("bigint"), F.max("end")).alias("circle"))
+    return rows.join(ends, F.col("seqname").eqNullSafe(F.col("_name"))).drop("_name")
+
+
+def rotate_rows(rows: DataFrame, cut: int, length: int | Column) -> DataFrame:
     """Positions after the circle was opened so that ``cut`` is 1; a row across the new origin becomes two, part 1 and 2."""
     s, e = rotate_position(F.col("start"), cut, length), rotate_position(F.col("end"), cut, length)
     halves = F.when(s <= e, F.array(F.struct(F.lit(1).alias("part"), s.alias("s"), e.alias("e")))).otherwise(

@@ -81,8 +81,9 @@ def gtf_wrapped_genes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gtf_rotated(spark: SparkSession, d: str) -> DataFrame:
-    good = _gtf(spark, d).where("start is not null and end is not null and start <= end and end <= 100000000")
-    return A.rotate_rows(good, 1_000_001, 100_000_000).select("line_no", "seqname", "start", "end", "part")
+    """Circles of 100 million positions, or longer ones where the rows of a sequence end behind that."""
+    good = _gtf(spark, d).where("start is not null and end is not null and start <= end")
+    return A.rotate_rows(A.with_circle(good, 100_000_000), 1_000_001, F.col("circle")).select("line_no", "seqname", "start", "end", "part")
 
 
 def gtf_key_values(spark: SparkSession, d: str) -> DataFrame:

@@ -15,6 +15,7 @@ from strandloom.operators import clonotypes as C
 from strandloom.operators import fuzzy, positions, reads, transcripts
 from strandloom.operators.align import align_columns, align_pairs, best_alleles, multi_alignment, segment_span
 from strandloom.plans import plotdata
+from strandloom.plans.annotation_queries import gtf_rotated
 from strandloom.sources import fasta, files
 from strandloom.sources import gtf as gtf_files
 from strandloom.sources.cellranger import read_clonotype_contigs, read_contigs
@@ -64,6 +65,13 @@ def gtf_rows(spark, rows):
     return spark.createDataFrame([(i, s, "x", f, a, b, ".", st, ".", at) for i, (s, f, a, b, st, at) in enumerate(rows, 1)], cols)
 
 
+def test_rotated_rows_beyond_the_given_length(spark, tmp_path):
+    rows = [(1, "a", 100_000_001, 150_000_000), (2, "a", 1_000_000, 1_000_001), (3, "b", 1_000_000, 1_000_001), (4, None, 1, 120_000_000)]
+    spark.createDataFrame(rows, "line_no long, seqname string, start long, end long").withColumn("exon_number", F.lit(1)).write.parquet(f"{tmp_path}/gtf.parquet")
+    got = sorted((r.line_no, r.start, r.end, r.part) for r in gtf_rotated(spark, str(tmp_path)).collect())
+    assert got == [(1, 99_000_001, 149_000_000, 1), (2, 1, 1, 2), (2, 150_000_000, 150_000_000, 1), (3, 1, 1, 2), (3, 100_000_000, 100_000_000, 1), (4, 1, 119_000_000, 2), (4, 119_000_001, 120_000_000, 1)]
+
+
 def test_attributes(spark):
     parsed = spark.createDataFrame([('gene_id "A b; c"; gene_name "B";',), ('tag "x"; tag "y";',)], "a string").select(A.parse_attributes(F.col("a")).alias("p")).collect()
     assert [tuple(x) for x in parsed[1].p] == [("tag", "x"), ("tag", "y")]
