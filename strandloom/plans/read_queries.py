@@ -169,11 +169,10 @@ def near_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_cdr3(spark: SparkSession, d: str) -> DataFrame:
-    """Translated beginnings of the reads near each other: first mates as TRA, second as TRB, against those that occur more than once."""
-    dna = _reads(spark, d).where("length(seq) >= 36").groupBy(F.when(F.col("mate") == "r1", "TRA").otherwise("TRB").alias("chain"), F.substring("seq", 1, 36).alias("dna")).agg(F.count("*").alias("n"))
-    t = cut_lineage(dna.groupBy("chain", S.translate_dna("dna").alias("cdr3")).agg(F.sum("n").alias("n")))
-    known, t = t.where("n > 1").select("chain", "cdr3"), t.select("chain", "cdr3")
-    return fuzzy.cdr3_hits(t, known, 1, (False, True))
+    """Translated reads within three edits of each other: first mates as TRA, second as TRB, all of them also as the known ones."""
+    dna = _reads(spark, d).where("length(seq) >= 3").select(F.when(F.col("mate") == "r1", "TRA").otherwise("TRB").alias("chain"), "seq").distinct()
+    t = cut_lineage(dna.select("chain", S.translate_dna("seq").alias("cdr3")).distinct())
+    return fuzzy.cdr3_hits(t, t, 3, (False, True))
 
 
 QUERIES = {

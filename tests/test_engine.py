@@ -16,6 +16,7 @@ from strandloom.operators import fuzzy, positions, reads, transcripts
 from strandloom.operators.align import align_columns, align_pairs, best_alleles, multi_alignment, segment_span
 from strandloom.plans import plotdata
 from strandloom.plans.annotation_queries import gtf_rotated
+from strandloom.plans.read_queries import near_cdr3
 from strandloom.sources import fasta, files
 from strandloom.sources import gtf as gtf_files
 from strandloom.sources.cellranger import read_clonotype_contigs, read_contigs
@@ -252,6 +253,27 @@ def test_edit_join_brute_force(spark):
     assert sorted(r.n for r in near) == ["TRAV12-2", "TRAV12-3"]
 
 
+def test_near_reads_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    amino = {"A": "GCT", "C": "TGT", "D": "GAT", "F": "TTT"}
+    words = ["".join(rng.choice("ACDF") for _ in range(n)) for n in (1, 2, 5, 11, 20, 25) for _ in range(3)]
+    words += [w[:-1] + "F" for w in words] + [w[:15] + w[16:18] + "A" + w[19:] for w in words]
+    rows = [(i, rng.choice(["r1", "r2"]), "".join(amino[c] for c in w)) for i, w in enumerate(words)] + [(99, "r1", "GC"), (98, "r2", None)]
+    spark.createDataFrame(rows, "read_ind long, mate string, seq string").write.parquet(f"{tmp_path}/reads.parquet")
+
+    def lev(s, t):
+        row = list(range(len(t) + 1))
+        for i, c in enumerate(s, 1):
+            prev, row[0] = row[0], i
+            for j, d in enumerate(t, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (c != d))
+        return row[-1]
+
+    own = {("TRA" if m == "r1" else "TRB", w) for (_, m, _), w in zip(rows, words)}
+    want = sorted((*a, *b, lev(a[1], b[1])) for a in own for b in own if lev(a[1], b[1]) <= 3)
+    assert sorted(map(tuple, near_cdr3(spark, str(tmp_path)).collect())) == want
+
+
 @pytest.mark.parametrize("values,want", [(["a"], True), ([None, "a"], True), (["a", "b"], False), (["a", "a,b"], False), ([None, "a", "b", "a,b"], True), ([None, "a", "a,b"], True), ([None, "a", "b,c"], False), ([None, "a", "b"], False), ([None], True)])
 def test_collapse_rules(spark, values, want):
     rows = [("s", "TRB1", v, f"n{i}") for i, v in enumerate(values)] + [("s", "TRB1", values[0], "n9")]
