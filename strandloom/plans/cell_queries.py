@@ -14,8 +14,10 @@ from strandloom.session import table
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "reads").where("sample is not null and length(seq) >= 9")
-    return r.select("sample", F.col("read_ind").alias("barcode"), F.when(F.col("mate") == "r1", "TRA").otherwise("TRB").alias("chain"), translate_dna(F.substring("seq", 1, 9)).alias("cdr3")).distinct()
+    r = table(spark, d, "reads").where("sample is not null and length(seq) >= 3")
+    r = r.select("sample", F.col("read_ind").alias("barcode"), F.when(F.col("mate") == "r1", "TRA").otherwise("TRB").alias("chain"), "seq").distinct()
+    # never null, as optimizers know by the coalesce: else a later check for nulls translates all a second time
+    return r.select("sample", "barcode", "chain", F.coalesce(translate_dna("seq"), F.lit("")).alias("cdr3")).distinct()
 
 
 def cells_wide(spark: SparkSession, d: str) -> DataFrame:

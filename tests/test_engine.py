@@ -14,7 +14,7 @@ from strandloom.operators import annotation as A
 from strandloom.operators import clonotypes as C
 from strandloom.operators import fuzzy, positions, reads, transcripts
 from strandloom.operators.align import align_columns, align_pairs, best_alleles, multi_alignment, segment_span
-from strandloom.plans import plotdata
+from strandloom.plans import cell_queries, plotdata
 from strandloom.plans.annotation_queries import gtf_rotated
 from strandloom.plans.read_queries import near_cdr3
 from strandloom.sources import fasta, files
@@ -293,6 +293,13 @@ def test_naming_keeps_cells(spark):
     assert len(set(names)) == 50 and not any("z" in n.lower() or len(n) < 4 for n in names)
 
 
+def test_cells_of_whole_reads(spark, tmp_path):
+    rows = [("p_1_b", 1, "r1", "ATGGCTGATTTT"), ("p_1_b", 1, "r1", "ATGGCTGATTGTTT"), ("p_1_b", 1, "r2", "TTTTTTTTTGCT"), ("p_1_b", 2, "r1", "ATGGCT"), ("p_1_b", 2, "r2", "TTTTTTTTTGAT"), ("p_1_b", 3, "r1", "AT")]
+    spark.createDataFrame(rows, "sample string, read_ind long, mate string, seq string").write.parquet(f"{tmp_path}/reads.parquet")
+    got = sorted((r.barcode, r.cdr3_TRA, r.cdr3_TRB) for r in cell_queries.cells_wide(spark, str(tmp_path)).collect())
+    assert got == [(1, "MADC,MADF", "FFFA"), (2, "MA", "FFFD")]
+
+
 def test_general_helpers(spark):
     df = spark.createDataFrame([(1, "AC"), (2, "GT"), (3, "AC")], "o long, s string")
     got = sorted(tuple(r) for r in G.collapse_duplicates(df, "s", "o").collect())
