@@ -117,8 +117,8 @@ def aligned_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def printed_mates(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d)
-    return plotdata.printed_alignment(p, ["read_ind"], "r1_seq", "r2_seq", 60)
+    done = aligned_mates(spark, d).where("first_aligned is not null and second_aligned is not null")
+    return plotdata.printed_alignment(done, ["read_ind"], "first_aligned", "second_aligned", 60)
 
 
 def plot_rows(spark: SparkSession, d: str) -> DataFrame:

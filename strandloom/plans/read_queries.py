@@ -63,7 +63,7 @@ def seq_valid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seq_rulers(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).where("r1_seq is not null and r2_seq is not null and length(r1_seq) = length(r2_seq)").select("read_ind", S.match_symbols("r1_seq").alias("ruler"), S.dots_for_matches(F.col("r2_seq"), F.col("r1_seq")).alias("dotted"))
+    return _pairs(spark, d).where("r1_seq is not null and r2_seq is not null").select("read_ind", S.match_symbols("r1_seq").alias("ruler"), S.dots_for_matches(F.col("r2_seq"), F.col("r1_seq")).alias("dotted"))
 
 
 def seq_duplicates(spark: SparkSession, d: str) -> DataFrame:

@@ -14,7 +14,7 @@ from strandloom.operators import annotation as A
 from strandloom.operators import clonotypes as C
 from strandloom.operators import fuzzy, positions, reads, transcripts
 from strandloom.operators.align import align_columns, align_pairs, best_alleles, multi_alignment, segment_span
-from strandloom.plans import cell_queries, plotdata
+from strandloom.plans import cell_queries, plotdata, read_queries
 from strandloom.plans.annotation_queries import gtf_rotated
 from strandloom.plans.read_queries import near_cdr3
 from strandloom.sources import fasta, files
@@ -322,6 +322,15 @@ def test_plot_tables(spark):
     assert text.split("\n")[1:3] == ["pattern ..-.T.", "subject ACTGAA"]
 
 
+def test_mates_of_unequal_length(spark, tmp_path):
+    rows = [(1, "r1", "ACGTACGT"), (1, "r2", "ACGACGT"), (2, "r1", "ACGT"), (2, "r2", None)]
+    df = spark.createDataFrame([(*r, "I", 1) for r in rows], "read_ind long, mate string, seq string, qual string, arrived_at long")
+    df.write.parquet(f"{tmp_path}/reads.parquet")
+    (printed,) = cell_queries.printed_mates(spark, str(tmp_path)).collect()
+    assert (printed.read_ind, printed.block) == (1, 0) and printed.text.split("\n")[1:3] == ["pattern ACGTACGT", "subject ACG-ACGT"]
+    assert [(r.read_ind, r.ruler, r.dotted) for r in read_queries.seq_rulers(spark, str(tmp_path)).collect()] == [(1, "....|...", "...ACGT")]
+
+
 def test_fasta_files(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">chr2 two\nACGT\nAC\n;note\n>chr10\nNNGGN\n>chrX\nA\n")
     with gzip.open(tmp_path / "b.fa.gz", "wt") as f:
