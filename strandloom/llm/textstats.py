@@ -27,13 +27,10 @@ COMMON_WORDS = (
     "не и в на что это мы был была потому после этого раньше"
 ).split()
 
-#: The lines on commit, author, date and subject above the message.
-HEADER = re.compile(
-    r"\s*(?:commit [^\n]*\n(?:[A-Z][\w-]*: [^\n]*\n)+\s*[^\n]*(?:\n|\Z)"
-    r"|From [^\n]*\n(?:[A-Z][\w-]*: [^\n]*\n)+"
-    r"|# HG changeset patch\n(?:# [^\n]*\n)*[^\n]*(?:\n|\Z)"
-    r"|[^\n]*(?:\n|\Z))"
-)
+#: The lines on commit, author and date above the message; those of a mail hold the subject too.
+HEADER = re.compile(r"\s*(?:commit [^\n]*\n(?:[A-Z][\w-]*: [^\n]*\n)+\s*|(?P<mail>From [^\n]*\n(?:[A-Z][\w-]*: [^\n]*\n)+)|# HG changeset patch\n(?:# [^\n]*\n)*)?")
+#: Characters of the longest first line that is taken for a subject.
+SUBJECT = 200
 
 _SPACE, _DIGIT, _UPPER, _LOWER, _HIGH, _TRAIL, _CODE, _END, _QUOTE, _OTHER = range(10)
 _KIND = np.full(256, _OTHER, np.uint8)
@@ -60,9 +57,12 @@ FEATURES = [
 
 
 def body(text: str) -> str:
-    """The text below its header, with one kind of line end."""
+    """The text below its header and subject, with one kind of line end. A first line that is long or has nothing below it stays."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    return text[HEADER.match(text).end() :]
+    head = HEADER.match(text)
+    rest = text[head.end() :]
+    subject, _, below = rest.partition("\n")
+    return below if not head["mail"] and len(subject) <= SUBJECT and below.strip() else rest
 
 
 _DIFF = re.compile(r"(?m)^(?=diff --git )")

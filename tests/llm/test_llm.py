@@ -158,6 +158,14 @@ def test_features_of_odd_texts():
     assert body("") == ""
 
 
+def test_a_first_line_that_is_no_subject_stays():
+    long = "word " * 60
+    assert body("a" * 300) == "a" * 300 and body("subject\n\n \n") == "subject\n\n \n"
+    assert body(long + "\nSigned-off-by: a\n") == long + "\nSigned-off-by: a\n" and body("subject\ntext\n") == "text\n"
+    assert body("commit 1\nAuthor: a\n\n" + long) == long and body("# HG changeset patch\n# User a\n" + long) == long
+    assert body("From a\nSubject: b\n\ntext\n") == "\ntext\n"
+
+
 def test_text_statistics(spark):
     df = spark.createDataFrame([(1, "The cat sat.\n\n  On (it)! \r\nyes"), (2, None), (3, ""), (4, " \n\t")], "doc_id long, text string").withColumnRenamed("text", "t").withColumnRenamed("t", "text")
     got = {r.doc_id: r for r in text_stats(df, ["doc_id"]).collect()}
