@@ -131,7 +131,7 @@ def match_symbols(seq: Column | str) -> Column:
 
 def dots_for_matches(pattern: Column, subject: Column) -> Column:
     """The pattern with a dot wherever it has the subject's letter."""
-    pairs = F.zip_with(F.split(pattern, ""), F.split(subject, ""), lambda p, s: F.when(p == s, ".").otherwise(F.coalesce(p, F.lit(""))))
+    pairs = F.zip_with(F.split(pattern, ""), F.split(subject, ""), lambda p, s: F.when((p == s) & (p != ""), ".").otherwise(F.coalesce(p, F.lit(""))))
     return F.array_join(pairs, "")
 
 

@@ -331,6 +331,11 @@ def test_mates_of_unequal_length(spark, tmp_path):
     assert [(r.read_ind, r.ruler, r.dotted) for r in read_queries.seq_rulers(spark, str(tmp_path)).collect()] == [(1, "....|...", "...ACGT")]
 
 
+def test_dots_of_empty_sequences(spark):
+    assert one(spark, S.dots_for_matches(F.col("p"), F.col("s")), p="", s="") == ""
+    assert one(spark, S.dots_for_matches(F.col("p"), F.col("s")), p="ACG", s="AT") == ".CG"
+
+
 def test_fasta_files(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">chr2 two\nACGT\nAC\n;note\n>chr10\nNNGGN\n>chrX\nA\n")
     with gzip.open(tmp_path / "b.fa.gz", "wt") as f:
