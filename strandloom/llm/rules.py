@@ -58,50 +58,48 @@ def _holds(codes: np.ndarray, conditions: list[tuple[int, str, int]]) -> np.ndar
 
 
 def _prune(codes: np.ndarray, positive: np.ndarray, conditions: list[tuple[int, str, int]]) -> tuple[list[tuple[int, str, int]], float, int]:
-    """The beginning of the rule with the most hits less misses on the pruning rows, the share of hits among those it covers, and their number."""
+    """The beginning of the rule with the greatest share of hits less misses on the pruning rows, the share of hits among those it covers, and their number."""
     best, kept, accuracy, covered = -np.inf, conditions, 0.0, 0
     held = np.ones(len(codes), bool)
     for i in range(len(conditions)):
         held &= _holds(codes, [conditions[i]])
         p, n = int((held & positive).sum()), int((held & ~positive).sum())
-        if p - n > best:
-            best, kept, accuracy, covered = p - n, conditions[: i + 1], p / max(1, p + n), p + n
+        if (p - n) / max(1, p + n) > best:
+            best, kept, accuracy, covered = (p - n) / max(1, p + n), conditions[: i + 1], p / max(1, p + n), p + n
     return kept, accuracy, covered
 
 
-def induce(x: np.ndarray, y: np.ndarray, features: list[str], order: list[str], most_conditions: int = 8, most_rules: int = 12, patience: int = 3) -> list[Rule]:
+def induce(x: np.ndarray, y: np.ndarray, features: list[str], order: list[str], most_conditions: int = 8, most_rules: int = 30, patience: int = 5, tries: int = 8, seed: int = SEED) -> list[Rule]:
     """Rules for the classes in ``order``, each class against all after it; rows that no rule holds for are of the last class.
 
-    Each rule is grown on two thirds of the rows left and cut back on the third; it is kept if more than half of what it covers there is
-    of its class, and its rows are taken away. A class ends after ``patience`` refused rules. The same rows give the same rules.
+    Each rule is grown on two thirds of the rows left and cut back on the third, and counts if more than half of what it covers there is of its class. Of ``tries`` splits
+    the rule with the most hits less misses on all rows left is taken and its rows go. A class ends when ``patience`` times no split gives a rule. The same rows give the same rules.
     """
-    random = np.random.default_rng(SEED)
+    random = np.random.default_rng(seed)
     inner = np.linspace(0, 1, BINS // 2 + 1)[1:-1]
     edges = [np.unique(np.concatenate([np.quantile(c, inner), c.min() + (c.max() - c.min()) * inner])) for c in x.T]
     codes = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1)
     left = np.arange(len(y))
     rules: list[Rule] = []
     for kind in order[:-1]:
-        refused = 0
-        made = 0
-        while made < most_rules and refused < patience:
-            mixed = random.permutation(left)
-            cut = len(mixed) * 2 // 3
-            grow, prune = mixed[:cut], mixed[cut:]
-            if not (y[left] == kind).any():
-                break
-            conditions = _grow(codes[grow], y[grow] == kind, most_conditions)
-            if not conditions:
+        refused = made = 0
+        while made < most_rules and refused < patience and (y[left] == kind).any():
+            best, chosen = -np.inf, None
+            for _ in range(tries):
+                mixed = random.permutation(left)
+                grow, prune = mixed[: len(mixed) * 2 // 3], mixed[len(mixed) * 2 // 3 :]
+                conditions, accuracy, covered = _prune(codes[prune], y[prune] == kind, _grow(codes[grow], y[grow] == kind, most_conditions))
+                conditions = [c for c in conditions if c[2] < len(edges[c[0]])]
+                if accuracy > 0.5 and covered >= 2 and conditions:
+                    hits = y[left[_holds(codes[left], conditions)]] == kind
+                    if 2 * int(hits.sum()) - len(hits) > best:
+                        best, chosen = 2 * int(hits.sum()) - len(hits), conditions
+            if chosen is None:
                 refused += 1
                 continue
-            conditions, accuracy, covered = _prune(codes[prune], y[prune] == kind, conditions)
-            conditions = [c for c in conditions if c[2] < len(edges[c[0]])]
-            if accuracy <= 0.5 or covered < 2 or not conditions:
-                refused += 1
-                continue
-            rules.append(Rule(kind, [(features[f], op, float(edges[f][k])) for f, op, k in conditions]))
+            rules.append(Rule(kind, [(features[f], op, float(edges[f][k])) for f, op, k in chosen]))
             made += 1
-            left = left[~_holds(codes[left], conditions)]
+            left = left[~_holds(codes[left], chosen)]
     return rules
 
 

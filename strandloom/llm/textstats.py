@@ -1,9 +1,11 @@
-"""Figures of each text that tell prose from lists, tables, code and junk."""
+"""Figures of texts: raw figures of their lines for the rules that tell kinds apart, and plain statistics."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +19,14 @@ from strandloom.session import pick
 #: Bytes of text that are measured at once.
 BLOCK = 1 << 19
 
-# fixed values: frequent function words of some languages
+#: Articles, pronouns, prepositions, conjunctions and auxiliary verbs of English, German, French, Spanish and Russian; a choice of this library.
+#: Only the statistic ``common_share`` looks at them, the kinds don't.
 COMMON_WORDS = (
-    "a an and are as at be been but by did do does for from had has have he i if in is it its no nobody not of on only or so than that "
-    "the then there this to was we were what when which who will with without would you "
-    "aber das dass dem den der des die ein eine einen er es hat ich im ist kein mit nicht noch und von war weil wir zu "
-    "au avec dans de des du est et la le les mais ne nous pas plus pour que qui reste sur un une "
-    "como con de del el en era esta hace hemos la los no para pero por que se sin una y "
-    "не и в на что это мы был была потому после этого раньше"
+    "the of and to a in is it you that he was for on are with as i his they be at this have from or by but not what all were we when can "
+    "der die das und ist nicht ein eine ich sie er es zu mit auf für von dem den im wir auch "
+    "le la les de des et est un une que qui dans pour pas sur il elle au ne "
+    "el los las y en por con no se lo para su como del al "
+    "и в не на что он с как это по но из у за от к мы она они"
 ).split()
 
 #: The lines on commit, author and date above the message; those of a mail hold the subject too.
@@ -32,28 +34,102 @@ HEADER = re.compile(r"\s*(?:commit [^\n]*\n(?:[A-Z][\w-]*: [^\n]*\n)+\s*|(?P<mai
 #: Characters of the longest first line that is taken for a subject.
 SUBJECT = 200
 
-_SPACE, _DIGIT, _UPPER, _LOWER, _HIGH, _TRAIL, _CODE, _END, _QUOTE, _OTHER = range(10)
-_KIND = np.full(256, _OTHER, np.uint8)
-_KIND[[0x20, 0x09]] = _SPACE
-_KIND[ord("0") : ord("9") + 1] = _DIGIT
-_KIND[ord("A") : ord("Z") + 1] = _UPPER
-_KIND[ord("a") : ord("z") + 1] = _LOWER
-_KIND[0xC0:] = _HIGH
-_KIND[0x80:0xC0] = _TRAIL
-_KIND[[ord(c) for c in "(){}[]<>=&$@#%^~_\\"]] = _CODE
-_KIND[[ord(c) for c in ".!?:;,"]] = _END
-_KIND[[ord(c) for c in "\"'`"]] = _QUOTE
-
-_BULLETS = np.zeros(256, bool)
-_BULLETS[[ord(c) for c in "-*+"]] = True
+# classes of characters; what stands before DIGIT is blank
+_SPACE, _TAB, _NEWLINE, _DIGIT, _LOW_V, _LOW_C, _UP_V, _UP_C, _LETTER, _MARK, _DOT, _STOP, _COMMA, _SEMI, _COLON, _PIPE, _SLASH, _UNDER, _DASH, _BRACKET, _OPERATOR, _QUOTE, _POINT, _ODD = range(24)
+_CLASSES = 24
+_ASCII = {" ": _SPACE, "\t": _TAB, "\n": _NEWLINE, ".": _DOT, "!": _STOP, "?": _STOP, ",": _COMMA, ";": _SEMI, ":": _COLON, "|": _PIPE, "/": _SLASH, "\\": _SLASH, "_": _UNDER, "-": _DASH, "<": _BRACKET, ">": _BRACKET}
+_ASCII |= dict.fromkeys("=+*&%$@#^~", _OPERATOR) | dict.fromkeys("'\"`", _QUOTE)
+_VOWELS = frozenset("aeiouyаеёиоуыэюяіїєαεηιουω")
+#: Scripts that one text of an East Asian language mixes.
+_EAST = ("CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "HANGUL", "BOPOMOFO", "IDEOGRAPHIC", "FULLWIDTH", "HALFWIDTH")
 
+#: What the rules look at: figures of a text's lines, as their mean weighted by the characters of each line.
 FEATURES = [
-    "chars", "lines", "mean_line", "mean_words", "long_lines", "word_length", "longest_word", "in_long_words", "alpha", "digits", "upper", "high",
-    "code_signs", "spaces", "signs", "ends_sentence", "ends_code", "sentences", "commas", "marked", "short_lines", "same_pipes", "same_tabs", "same_semicolons",
-    "same_commas", "aligned", "number_words", "common", "distinct_words", "distinct_bytes", "wide", "wordlike", "code_lines", "prose_lines", "table_lines", "list_lines",
-    "junk_lines", "one_word_lines", "same_start", "hex_words", "mixed_words", "patch_lines", "repeats",
-    "key_lines", "uncommon_lines", "prose_lead", "list_lead", "table_lead", "junk_lead", "code_lead",
+    "letters", "digits", "brackets", "operators", "quotes", "joints", "pauses", "odd", "dashes", "turns", "script_turns", "clusters", "runs", "same_words", "aligned", "gaps",
+    "tabs_again", "pipes_again", "semicolons_again", "commas_again", "length_again", "first_letter", "first_digit", "ends_stop", "ends_pause", "ends_bracket", "ends_word", "indent",
+    "plain_words", "number_words", "letters_near",
 ]
+#: Further figures that only describe a text.
+DESCRIBED = ["lines", "mean_words", "word_length", "signs", "stop_lines", "common", "distinct_words"]
+
+
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class, script (0 for none) and lower case of each code point, by the Unicode properties Python knows."""
+    kind = np.full(0x110000, _ODD, np.uint8)
+    script = np.zeros(0x110000, np.uint8)
+    lower = np.arange(0x110000, dtype=np.uint32)
+    kind[0x20000:0x40000] = _LETTER
+    scripts: dict[str, int] = {}
+    for code in range(0x20000):
+        ch = chr(code)
+        g = unicodedata.category(ch)
+        if ch in _ASCII:
+            kind[code] = _ASCII[ch]
+        elif g[0] == "L":
+            name = unicodedata.name(ch, "").split(" ")[0]
+            script[code] = scripts.setdefault("EAST" if name in _EAST else name, len(scripts) % 250 + 1)
+            low = ch.lower()
+            if len(low) == 1:
+                lower[code] = ord(low)
+            kind[code] = _LETTER
+            if name in ("LATIN", "CYRILLIC", "GREEK") and g in ("Lu", "Ll", "Lt"):
+                vowel = unicodedata.normalize("NFD", low)[0] in _VOWELS
+                kind[code] = (_LOW_V if vowel else _LOW_C) if g == "Ll" else (_UP_V if vowel else _UP_C)
+        elif g[0] in "MNZ":
+            kind[code] = {"M": _MARK, "N": _DIGIT, "Z": _SPACE}[g[0]]
+        elif g == "Pd":
+            kind[code] = _DASH
+        elif g in ("Ps", "Pe"):
+            kind[code] = _BRACKET
+        elif g in ("Pi", "Pf"):
+            kind[code] = _QUOTE
+        elif g[0] == "P":
+            name = unicodedata.name(ch, "")
+            kind[code] = _STOP if any(x in name for x in ("FULL STOP", "QUESTION MARK", "EXCLAMATION MARK", "DANDA")) else _COMMA if "COMMA" in name else _POINT
+    return kind, script, lower
+
+
+def _is_letter(kind: np.ndarray) -> np.ndarray:
+    return (kind >= _LOW_V) & (kind <= _MARK)
+
+
+@cache
+def _turns() -> np.ndarray:
+    """Of two classes, whether letters written as usual don't follow each other so: small before great, letter and digit."""
+    i, j = np.meshgrid(np.arange(_CLASSES), np.arange(_CLASSES), indexing="ij")
+    low, up = (i == _LOW_V) | (i == _LOW_C), (j == _UP_V) | (j == _UP_C)
+    return low & up | _is_letter(i) & (j == _DIGIT) | (i == _DIGIT) & _is_letter(j)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base to the power 0..n-1, modulo 2^64."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, BLOCK), base, np.uint64)
+        have[0] = 1
+        _powers[base] = np.multiply.accumulate(have)
+    return _powers[base][:n]
+
+
+def _word_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal slices: the polynomial of their code points, from sums over the whole."""
+    n = len(codes)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _power(_BASE, n))])
+    return (sums[end] - sums[start]) * _power(pow(_BASE, -1, 1 << 64), n)[start]
+
+
+@cache
+def _common_hashes() -> np.ndarray:
+    text = " ".join(COMMON_WORDS)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    ends = np.append(np.flatnonzero(codes == 32), len(codes))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.unique(_word_hashes(codes.astype(np.uint64), starts, ends))
 
 
 def body(text: str) -> str:
@@ -84,208 +160,140 @@ def without_diff(text: str) -> str:
     return "".join(out)
 
 
-def _per(groups: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
-    return np.bincount(groups, weights, n)
-
-
 def measure(bodies: list[str]) -> np.ndarray:
-    """A row of ``FEATURES`` for each text; shares are of characters (bytes other than the inner ones of UTF-8), unless named words."""
-    count = len(bodies)
+    """A row of ``FEATURES`` and ``DESCRIBED`` for each text, zeros for one without a letter or sign.
+
+    Of a line: shares of its characters that aren't blank (letters, digits, brackets, operators, quotes, slashes and underscores, pauses such as
+    commas, odd characters such as controls, dashes, turns from small to great letters or between letters and digits, the third and further of equal
+    characters), of its letters (changes of script inside words, the fourth and further consonant in a row), of its words (those that occur again, those that begin or end below or
+    above a word's, wide gaps, words of letters or of figures only); how many tabs, bars, semicolons and commas it has if the line before or behind
+    has as many; how far its length is from theirs; what it begins and ends with; its indent and the share of letters around it. No word, language or format is looked up: the rules are to find out what tells the kinds.
+    """
+    n_docs = len(bodies)
+    out = np.zeros((n_docs, len(FEATURES) + len(DESCRIBED)))
     clean = [without_diff(b) for b in bodies]
-    raw = [(b + "\n").encode("utf-8", "replace") for b in clean]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    n = len(data)
-    sizes = np.fromiter(map(len, raw), np.int64, count)
-    kind = _KIND[data]
-    stops = np.flatnonzero(data == 10)
+    codes = np.frombuffer(("\n".join(clean) + "\n").encode("utf-32-le", "replace"), np.uint32)
+    kinds, scripts, lower = _characters()
+    k = kinds[codes]
+    stops = np.flatnonzero(k == _NEWLINE)
     starts = np.concatenate([[0], stops[:-1] + 1])
-    doc = np.searchsorted(np.cumsum(sizes), starts, "right")
-
-    # what stands before a line's own text: blanks, the mark of a diff, of a quotation
-    inner = kind != _SPACE
-    place = np.flatnonzero(inner)
-    first = place[np.searchsorted(place, starts)]
-    follow = np.minimum(first + 1, n - 1)
-    mark = (data[first] == ord("+")) | (data[first] == ord("-")) | (data[first] == ord(">"))
-    follow2 = np.minimum(first + 2, n - 1)
-    one_blank = (data[follow] == 0x20) & (kind[follow2] != _SPACE) & (data[first] != ord(">"))
-    glued = mark & (first < stops) & ~one_blank & (data[follow] != data[first])
-    first = np.where(glued, place[np.searchsorted(place, follow)], first)
-    first = np.minimum(first, stops)
-    last = np.maximum(place[np.searchsorted(place, stops) - 1] if n else stops, 0)
-    last = np.where(last < first, first - 1, last)
-
-    def counts(mask: np.ndarray) -> np.ndarray:
-        seen = np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
-        return (seen[stops] - seen[first]).astype(np.int64)
-
-    chars = counts(kind != _TRAIL)
-    full = first < stops
-    weight = np.where(full, chars, 0).astype(np.float64)
-    total = np.maximum(_per(doc, count, weight), 1)
-    number = np.maximum(_per(doc, count, full), 1)
-
-    def share(amount: np.ndarray) -> np.ndarray:
-        return _per(doc, count, amount) / total
-
-    digits, upper, lower, high = (counts(kind == k) for k in (_DIGIT, _UPPER, _LOWER, _HIGH))
-    code, spaces = counts(kind == _CODE), counts(kind == _SPACE)
-    ends, quotes, other = counts(kind == _END), counts(kind == _QUOTE), counts(kind == _OTHER)
-    pipes, tabs, semis, commas = (counts(data == ord(c)) for c in "|\t;,")
-    blank = kind == _SPACE
-    gap = blank.copy()
-    gap[1:] &= blank[:-1]  # second or later blank of a run
-    wide_gap = gap & ~np.concatenate([[False], gap[:-1]])
-    seen_gaps = np.concatenate([[0], np.cumsum(wide_gap, dtype=np.int32)])
-    gaps = seen_gaps[last + 1] - seen_gaps[first]
-    wordy = inner & (data != 10)
-    begin = wordy & ~np.concatenate([[False], wordy[:-1]])
-    words = counts(begin)
-    comma_blank = counts((data == ord(",")) & np.append(blank[1:], False))
+    n_lines = len(stops)
+    line = np.repeat(np.arange(n_lines), stops - starts + 1)
+    ink_at = k > _NEWLINE
+    edge = np.diff(np.concatenate([[0], ink_at.view(np.int8), [0]]))
+    w_start, w_end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(w_start):
+        return out
+
+    # lines that aren't blank
+    words = np.bincount(line[w_start], minlength=n_lines)
+    full = np.flatnonzero(words)
+    m = len(full)
+    doc = np.searchsorted(np.cumsum([len(b) + 1 for b in clean]), starts, "right")[full]
+    near = doc[1:] == doc[:-1]
+    behind, ahead = np.concatenate([[False], near]), np.concatenate([near, [False]])
+    count = np.bincount(line * _CLASSES + k, minlength=n_lines * _CLASSES).reshape(n_lines, _CLASSES)[full].astype(np.float64)
+    ink = count[:, _DIGIT:].sum(1)
+    letters = count[:, _LOW_V : _MARK + 1].sum(1)
+    some_letters = np.maximum(letters, 1)
+    words = words[full].astype(np.float64)
+
+    def per_line(mask: np.ndarray) -> np.ndarray:
+        return np.bincount(line[: len(mask)][mask], minlength=n_lines)[full]
 
     # words
-    w_at = np.flatnonzero(begin)
-    w_end = np.flatnonzero(wordy & ~np.append(wordy[1:], False)) + 1
-    w_line = np.searchsorted(stops, w_at)
-    w_doc = doc[w_line]
-    points = np.concatenate([[0], np.cumsum(kind != _TRAIL, dtype=np.int64)])
-    w_len = points[w_end] - points[w_at]
-    cum = {k: np.concatenate([[0], np.cumsum(kind == k, dtype=np.int32)]) for k in (_DIGIT, _UPPER, _LOWER, _HIGH, _CODE)}
-    w = {k: c[w_end] - c[w_at] for k, c in cum.items()}
-    n_words = np.maximum(_per(w_doc, count, np.ones(len(w_at))), 1)
-    hexes = np.concatenate([[0], np.cumsum((kind == _DIGIT) | ((data >= ord("a")) & (data <= ord("f"))), dtype=np.int32)])
-    w_hex = (w_len >= 4) & (hexes[w_end] - hexes[w_at] >= w_len - 1) & (w[_DIGIT] > 0)
-    # in words of ordinary make letters stand together, in encoded ones small, great and digits change
-    change = np.concatenate([[0], np.cumsum((kind[1:] != kind[:-1]) & (kind[1:] <= _LOWER) & (kind[:-1] <= _LOWER) & (kind[1:] > _SPACE) & (kind[:-1] > _SPACE), dtype=np.int32), [0]])
-    w_mixed = (w_len >= 8) & (change[w_end - 1] - change[w_at] >= w_len * 0.3)
-    line_long = np.zeros(len(stops))
-    np.maximum.at(line_long, w_line, w_len)
-    w_number = (w[_DIGIT] > 0) & (w[_LOWER] + w[_UPPER] + w[_HIGH] == 0)
-    w_plain = (w[_LOWER] + w[_UPPER] + w[_HIGH] >= w_len - 1) & (w_len <= 20)
-    plain = np.bincount(w_line, w_plain, len(stops))
-    texts = pa.BinaryArray.from_buffers(pa.binary(), 2 * len(w_at), [None, pa.py_buffer(np.append(np.stack([w_at, w_end], 1).ravel(), n).astype(np.int32)), pa.py_buffer(data)]).take(pa.array(np.arange(0, 2 * len(w_at), 2)))
-    coded = texts.dictionary_encode()
-    entries = [x.strip(b".,;:!?()\"'`*").lower() for x in coded.dictionary.to_pylist()]
-    known = {x.encode() for x in COMMON_WORDS}
-    is_common = np.fromiter((x in known for x in entries), bool, len(entries))[coded.indices.to_numpy()] if len(entries) else np.zeros(0, bool)
-    pair = np.unique(w_doc * (len(entries) + 1) + coded.indices.to_numpy())
-    distinct = np.bincount(pair // (len(entries) + 1), minlength=count)
-    common_line = np.bincount(w_line, is_common, len(stops))
-
-    # lines
-    c0, c1, c2, c3 = (data[np.minimum(first + i, n - 1)] for i in range(4))
-    b1, b2, b3 = (_KIND[c] == _SPACE for c in (c1, c2, c3))
-    d0, d1 = _KIND[c0] == _DIGIT, _KIND[c1] == _DIGIT
-    dot1, dot2, dot3 = ((c == ord(".")) | (c == ord(")")) for c in (c1, c2, c3))
-    letter0 = (_KIND[c0] == _LOWER) | (_KIND[c0] == _UPPER)
-    c4, c5 = data[np.minimum(first + 4, n - 1)], data[np.minimum(first + 5, n - 1)]
-    d2 = _KIND[c2] == _DIGIT
-    marked = (
-        _BULLETS[c0] & (b1 | (c1 == c0) & b2)
-        | (d0 | letter0) & dot1 & b2
-        | d0 & d1 & dot2 & b3
-        | d0 & d1 & d2 & dot3 & (_KIND[c4] == _SPACE)
-        | ((c0 == ord("(")) | (c0 == ord("["))) & ((c2 == ord(")")) | (c2 == ord("]"))) & b3
-        | (c0 == ord("(")) & d1 & d2 & (c3 == ord(")")) & (_KIND[c4] == _SPACE)
-        | (c0 == 0xE2) & (c1 >= 0x80) & (_KIND[c3] == _SPACE)
-        | (c0 == 0xC2) & (c1 == 0xB7) & b2
-        | (c0 == ord("#")) & d1
-        | (c0 == ord("=")) & (c1 == ord(">")) & b2
-        | (c0 == ord("-")) & (c1 == ord(">")) & b2
-        | (c0 == ord("o")) & b1
-    ) & full
-    tail = data[np.maximum(last, 0)]
-    before_tail = data[np.maximum(last - 2, 0)]
-    cjk_stop = (tail == 0x82) & (before_tail == 0xE3) | (tail == 0x81) & (before_tail == 0xEF) | (tail == 0x9F) & (before_tail == 0xEF)
-    stop = np.isin(tail, [ord(c) for c in ".!?"]) | cjk_stop
-    ends_code = np.isin(tail, [ord(c) for c in "{}();,[]:>"])
-    alpha = lower + upper + high
-    near = np.concatenate([[False], doc[1:] == doc[:-1]]) & np.concatenate([[False], full[:-1]])
-
-    def same(x: np.ndarray, least: int) -> np.ndarray:
-        back = np.concatenate([[False], (x[1:] == x[:-1])]) & near
-        ahead = np.append(back[1:], False)
-        return full & (x >= least) & (back | ahead)
-
-    same_pipes, same_tabs, same_semis = same(pipes, 1), same(tabs, 1), same(semis, 2)
-    same_commas = same(commas, 2) & (comma_blank * 2 <= commas)
-    aligned = full & (gaps >= 1) & (same(gaps, 1) | (gaps >= 2))
-    indent = first - starts
-    same_start = full & near & np.concatenate([[False], (c0[1:] == c0[:-1]) & (indent[1:] == indent[:-1])])
-    letters = alpha / np.maximum(chars, 1)
-    size = np.maximum(chars, 1)
-    strong = counts(np.isin(data, [ord(c) for c in "(){}[]<>=;$"]))
-    caps = np.bincount(w_line, (w[_UPPER] >= 2) & (w[_UPPER] >= w_len - 1), len(stops))
-    foreign = counts(np.isin(data, [0xC2, 0xC3, 0xC5, 0xCB, 0xE1, 0xE2, 0xEF]))
-    paths = counts((data == ord("/")) | (data == ord(".")))
-    far_east = counts((data >= 0xE3) & (data <= 0xE9))
-    hex_line = np.bincount(w_line, w_len * w_hex, len(stops))
-    mixed_line = np.bincount(w_line, w_len * w_mixed, len(stops))
-    line_words = np.unique(w_line * (len(entries) + 1) + coded.indices.to_numpy())
-    line_distinct = np.bincount(line_words // (len(entries) + 1), minlength=len(stops))
-    triples = np.concatenate([[False, False], (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (data[2:] != 0x20)])
-    run_line = counts(triples)
-    brackets = counts(np.isin(data, [ord(c) for c in "(){}[]<>=$"]))
-    plain_cells = brackets < 0.04 * size
-    same_pipes &= (c0 == ord("|")) | plain_cells & (strong + quotes < 0.04 * size)
-    same_semis &= plain_cells
-    same_commas &= plain_cells
-    cells = same_pipes | same_tabs & (words > 1) | same_semis | same_commas
-    noise = full & (alpha + digits < 0.2 * size) & (strong + code > 0.3 * size) & (chars >= 12)
-    cells &= ~noise
-    junk_line = full & ~cells & (
-        noise |
-        (line_long >= 30) & (line_long >= 0.5 * size) & (far_east * 3 < size) & (plain * 6 < size)
-        & ~((paths >= 2) & (paths * 20 >= size)) | (mixed_line >= 0.5 * size) | (hex_line >= 0.6 * size) & (words >= 2)
-        | (foreign >= 0.25 * size) | (run_line >= 0.5 * size) | (words >= 6) & (line_distinct * 3 < words)
-    )
-    east_line = (far_east >= 0.4 * size) & (chars >= 8) & ~marked
-    prose_line = full & ~marked & ~cells & ~junk_line & (strong < 0.08 * size) & (caps * 4 < words) & (
-        (words >= 6) & (plain >= 0.7 * words) & ~(gaps >= 2) | (common_line >= 2) & (words >= 5) & (plain >= 0.5 * words) & ~(gaps >= 2) | east_line
-    )
-    prose_line |= near & np.concatenate([[False], prose_line[:-1]]) & full & ~marked & ~cells & ~junk_line & (plain >= 0.7 * words) & (strong == 0)
-    uncommon = prose_line & (common_line == 0) & (words >= 6) & (high * 10 < size)
-    prose_line &= ~uncommon
-    junk_line |= uncommon
-    table_line = full & ~prose_line & ~junk_line & (cells | aligned & (words >= 2) & (strong < 0.08 * size)) & ~(marked & (pipes + tabs + semis == 0))
-    colon = np.bincount(w_line[np.concatenate([[True], w_line[1:] != w_line[:-1]])] if len(w_line) else [], (data[w_end - 1] == ord(":"))[np.concatenate([[True], w_line[1:] != w_line[:-1]])] if len(w_line) else [], len(stops)) > 0
-    key_line = full & colon & ~marked & (words <= 6)
-    entry = (words == 1) & (letters > 0.5) & (strong == 0) & (quotes == 0)
-    code_line = full & ~table_line & ~junk_line & ~prose_line & ~entry & (key_line | (strong + quotes >= 0.05 * size) & ~marked | ends_code & (tail != ord(",")) & (tail != ord(":")) & (tail != ord(")")) | (caps >= 2) & (caps * 4 >= words))
-    list_line = full & ~table_line & ~junk_line & ~prose_line & ~code_line & (marked | entry | (words <= 7) & (letters > 0.5) & ~stop)
-    repeated = np.concatenate([[False], (data[1:] == data[:-1]) & (data[1:] != 0x20)])
-    same3 = repeated.copy()
-    same3[1:] &= repeated[:-1]
-    used = np.zeros((count, 256), bool)
-    used[np.repeat(np.arange(count), sizes), data] = True
-    out = {
-        "chars": total, "lines": number, "mean_line": total / number, "mean_words": _per(doc, count, words) / number, "long_lines": share(weight * (chars >= 60)),
-        "word_length": _per(w_doc, count, w_len) / n_words, "longest_word": np.zeros(count), "in_long_words": _per(w_doc, count, w_len * (w_len > 30)) / total,
-        "alpha": share(alpha), "digits": share(digits), "upper": share(upper), "high": share(high), "code_signs": share(code), "spaces": share(spaces), "signs": share(code + ends + quotes + other),
-        "ends_sentence": share(weight * stop), "ends_code": share(weight * ends_code), "sentences": 100 * share(counts(np.isin(data, [ord(c) for c in ".!?"]) & np.append((data[1:] == 32) | (data[1:] == 10), False))), "commas": share(commas),
-        "marked": share(weight * marked), "short_lines": share(weight * (words <= 5)), "same_pipes": share(weight * same_pipes), "same_tabs": share(weight * same_tabs), "same_semicolons": share(weight * same_semis),
-        "same_commas": share(weight * same_commas), "aligned": share(weight * aligned), "number_words": _per(w_doc, count, w_number) / n_words, "common": _per(w_doc, count, is_common) / n_words,
-        "distinct_words": distinct / n_words, "distinct_bytes": used.sum(1), "wide": share(counts((data >= 0xE2) & (data < 0xF0))), "wordlike": _per(w_doc, count, w_plain) / n_words,
-        "code_lines": share(weight * code_line), "prose_lines": share(weight * prose_line), "table_lines": share(weight * table_line), "list_lines": share(weight * list_line),
-        "junk_lines": share(weight * junk_line), "one_word_lines": share(weight * (words == 1)), "same_start": share(weight * same_start), "hex_words": _per(w_doc, count, w_len * w_hex) / total, "mixed_words": _per(w_doc, count, w_len * w_mixed) / total,
-        "patch_lines": np.array([len(b) - len(c) for b, c in zip(bodies, clean)]) / np.maximum([len(b) for b in bodies], 1), "repeats": share(counts(same3)),
-        "key_lines": share(weight * key_line), "uncommon_lines": share(weight * uncommon),
+    place = np.zeros(n_lines, np.int64)
+    place[full] = np.arange(m)
+    w_line = place[line[w_start]]
+    w_first = np.searchsorted(w_line, np.arange(m))
+    w_last = np.append(w_first[1:], len(w_line)) - 1
+    letter_at = _is_letter(k)
+    seen_letters = np.concatenate([[0], np.cumsum(letter_at, dtype=np.int32)])
+    seen_digits = np.concatenate([[0], np.cumsum(k == _DIGIT, dtype=np.int32)])
+    w_letters, w_digits, w_size = seen_letters[w_end] - seen_letters[w_start], seen_digits[w_end] - seen_digits[w_start], w_end - w_start
+    small = lower[codes].astype(np.uint64)
+    w_hash = _word_hashes(small, w_start, w_end)
+
+    def of_words(mask: np.ndarray) -> np.ndarray:
+        return np.bincount(w_line, mask, m) / words
+
+    def distinct(group: np.ndarray, size: int) -> np.ndarray:
+        order = np.lexsort((w_hash, group))
+        g, h = group[order], w_hash[order]
+        return np.bincount(g[np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])])], minlength=size)
+
+    def in_column(at: np.ndarray) -> np.ndarray:
+        """The share of the words behind the first that start or end where one of the line before or behind does."""
+        key = w_line * 4096 + np.minimum(at - starts[full][w_line], 4095)
+        inner = np.ones(len(key), bool)
+        inner[w_first] = False
+        own, of = key[inner], w_line[inner]
+        there = lambda x: key[np.minimum(np.searchsorted(key, x), len(key) - 1)] == x
+        return np.bincount(of, there(own - 4096) & behind[of] | there(own + 4096) & ahead[of], m) / np.maximum(words - 1, 1)
+
+    # signs next to each other
+    consonant = (k == _LOW_C) | (k == _UP_C)
+    same = (codes[1:] == codes[:-1]) & ink_at[1:]
+    script = scripts[codes]
+    blank = k <= _TAB
+    first, last = w_start[w_first], w_end[w_last] - 1
+    indent = first - starts[full]
+    wide_gaps = per_line(blank[:-2] & blank[1:-1] & ink_at[2:]) - (indent >= 2)
+
+    def again(x: np.ndarray) -> np.ndarray:
+        """The number where the line before or behind has the same, else 0."""
+        equal = (x[1:] == x[:-1]) & near
+        return np.where(np.concatenate([[False], equal]) | np.concatenate([equal, [False]]), x, 0)
+
+    apart = np.where(near, np.abs(ink[1:] - ink[:-1]) / np.maximum(ink[1:], ink[:-1]), 1)
+    share = letters / ink
+    around = np.concatenate([[0], np.where(near, share[:-1], 0)]) + np.concatenate([np.where(near, share[1:], 0), [0]])
+    n_around = behind.astype(np.float64) + ahead
+    head, tail = k[first], k[last]
+    ends_stop = (tail == _DOT) | (tail == _STOP)
+    figures = {
+        "letters": share, "digits": count[:, _DIGIT] / ink, "brackets": count[:, _BRACKET] / ink, "operators": count[:, _OPERATOR] / ink, "quotes": count[:, _QUOTE] / ink,
+        "joints": (count[:, _SLASH] + count[:, _UNDER]) / ink, "pauses": count[:, _COMMA : _COLON + 1].sum(1) / ink, "odd": count[:, _ODD] / ink, "dashes": count[:, _DASH] / ink,
+        "turns": per_line(_turns()[k[:-1], k[1:]]) / ink,
+        "script_turns": per_line((script[:-1] != script[1:]) & (script[:-1] > 0) & (script[1:] > 0)) / some_letters,
+        "clusters": per_line(consonant[:-3] & consonant[1:-2] & consonant[2:-1] & consonant[3:]) / some_letters if len(k) > 3 else np.zeros(m),
+        "runs": per_line(same[1:] & same[:-1]) / ink,
+        "same_words": 1 - distinct(w_line, m) / words,
+        "aligned": np.maximum(in_column(w_start), in_column(w_end)), "gaps": np.maximum(wide_gaps, 0) / words,
+        "tabs_again": again(count[:, _TAB]), "pipes_again": again(count[:, _PIPE]), "semicolons_again": again(count[:, _SEMI]), "commas_again": again(count[:, _COMMA]),
+        "length_again": np.minimum(np.concatenate([[1], apart]), np.concatenate([apart, [1]])),
+        "first_letter": _is_letter(head), "first_digit": head == _DIGIT,
+        "ends_stop": ends_stop, "ends_pause": (tail >= _COMMA) & (tail <= _COLON), "ends_bracket": tail == _BRACKET, "ends_word": _is_letter(tail) | (tail == _DIGIT), "indent": indent,
+        "plain_words": of_words((w_letters >= w_size - 1) & (w_digits == 0) & (w_letters > 0)), "number_words": of_words((w_digits > 0) & (w_letters == 0)),
+        "letters_near": np.where(n_around > 0, around / np.maximum(n_around, 1), share),
     }
-    np.maximum.at(out["longest_word"], w_doc, w_len)
-    names = ["prose", "list", "table", "junk", "code"]
-    shares = np.stack([out[f"{k}_lines"] for k in names])
-    for i, k in enumerate(names):
-        out[f"{k}_lead"] = shares[i] - np.delete(shares, i, 0).max(0)
-    return np.stack([out[f] for f in FEATURES], 1).astype(np.float64)
-
-
-def text_features(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and the ``FEATURES`` of each text's body; of null, empty and blank texts they are 0 or what an empty body gives.
+    held, cut = np.unique(doc, return_index=True)
+    total = np.add.reduceat(ink, cut)
+    for j, f in enumerate(FEATURES):
+        out[held, j] = np.add.reduceat(ink * figures[f], cut) / total
+
+    # descriptions: words without the signs around them count as common or not
+    n_words, n_held = np.add.reduceat(words, cut), np.diff(np.append(cut, m))
+    at = np.flatnonzero(letter_at)
+    lettered = w_letters > 0
+    from_ = at[np.searchsorted(at, w_start[lettered])]
+    to = at[np.searchsorted(at, w_end[lettered]) - 1] + 1
+    known = np.isin(_word_hashes(small, from_, to), _common_hashes())
+    n_known = np.bincount(doc[w_line[lettered]], known, n_docs)[held]
+    signs = np.add.reduceat(count[:, _DOT:_ODD].sum(1), cut)
+    described = [n_held, n_words / n_held, total / n_words, signs / total, np.add.reduceat(ink * ends_stop, cut) / total, n_known / n_words, distinct(doc[w_line], n_docs)[held] / n_words]
+    out[held, len(FEATURES) :] = np.stack(described, 1)
+    return out
+
+
+def text_features(df: DataFrame, keep: list[str], text: str = "text", described: bool = False) -> DataFrame:
+    """The columns ``keep`` and the ``FEATURES`` of each text's body, with ``described`` also ``DESCRIBED``; 0 for null, empty and blank texts.
 
     A narrow step over Arrow batches, in blocks of about ``BLOCK`` bytes; texts are measured whole. Every row has its row.
     """
     rows = pick(df, **{f"_k{i}": c for i, c in enumerate(keep)}, _text=text)
     types = [rows.schema[f"_k{i}"].dataType for i in range(len(keep))]
+    names = [*FEATURES, *(DESCRIBED if described else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,13 +304,13 @@ def text_features(df: DataFrame, keep: list[str], text: str = "text") -> DataFra
                 to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + BLOCK, "right")) - 1)
                 found = measure([body(t) for t in texts.slice(at, to - at).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(i).slice(at, to - at) for i in range(len(keep))], *[pa.array(np.ascontiguousarray(found[:, j])) for j in range(len(FEATURES))]],
-                    [*[f"_k{i}" for i in range(len(keep))], *FEATURES],
+                    [*[batch.column(i).slice(at, to - at) for i in range(len(keep))], *[pa.array(np.ascontiguousarray(found[:, j])) for j in range(len(names))]],
+                    [*[f"_k{i}" for i in range(len(keep))], *names],
                 )
                 at = to
 
-    schema = T.StructType([*[T.StructField(f"_k{i}", t) for i, t in enumerate(types)], *[T.StructField(f, T.DoubleType()) for f in FEATURES]])
-    return rows.mapInArrow(run, schema).select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *FEATURES)
+    schema = T.StructType([*[T.StructField(f"_k{i}", t) for i, t in enumerate(types)], *[T.StructField(f, T.DoubleType()) for f in names]])
+    return rows.mapInArrow(run, schema).select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *names)
 
 
 def _common_count(words, known):
