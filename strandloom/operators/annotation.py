@@ -119,23 +119,31 @@ def gene_spans(rows: DataFrame) -> DataFrame:
 def merge_overlapping(rows: DataFrame, columns: list[str], tile: int = TILE) -> DataFrame:
     """Rows (seqname, start, end, strand, *columns, n): overlapping rows as one, whatever their strands.
 
-    The strand is the common one, else +. Of each column the distinct values, in order of their first line, are joined by ``---``. A row belongs to
-    exactly one covered period: periods are cut into tiles and joined by (seqname, tile), so a hot sequence is spread over its tiles.
+    The strand is the common one, else +. Of each column the distinct values, in order of their first line, are joined by ``---``; '' for none.
+
+    Rows are aggregated by their start before anything is joined. The period of a start is the last one that begins at or before it, in its tile or an earlier one:
+    a window over the starts of a tile, at most ``tile``, and one over the tiles of a sequence tell it, so that no period is expanded, however long it is.
     """
     good = rows.where("seqname is not null and start is not null and end is not null and start <= end")
-    periods = periods_and_gaps(good).where("kind = 'period'").select("seqname", "seg_start", "seg_end")
-    cut = periods.select(F.col("seqname").alias("_s"), "seg_start", "seg_end", F.explode(F.expr(f"sequence(seg_start div {tile}L, seg_end div {tile}L)")).alias("_t"))
-    placed = good.withColumn("_tile", F.expr(f"start div {tile}L"))
-    joined = placed.join(cut, (F.col("seqname") == F.col("_s")) & (F.col("_tile") == F.col("_t")) & F.col("start").between(F.col("seg_start"), F.col("seg_end")))
-    base = joined.groupBy("seqname", "seg_start", "seg_end")
-    out = base.agg(F.when(F.count_distinct("strand") == 1, F.max("strand")).otherwise("+").alias("strand"), F.count("*").alias("n"), *[_tokens(c).alias(c) for c in columns])
-    return out.select("seqname", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), "strand", *columns, "n")
-
-
-def _tokens(column: str) -> Column:
-    """Aggregate: distinct values in order of their first line, joined by ``---``; '' for none."""
-    pairs = F.array_sort(F.collect_set(F.when(F.col(column).isNotNull(), F.struct("line_no", F.col(column).alias("v")))))
-    return F.array_join(F.array_distinct(F.transform(pairs, lambda s: s["v"])), "---")
+    periods = periods_and_gaps(good, tile=tile).where("kind = 'period'")
+    p_type = "struct<seg_start:bigint,seg_end:bigint>"
+    begun = periods.select("seqname", F.col("seg_start").alias("start"), F.struct("seg_start", "seg_end").alias("p"))
+    starts = good.select("seqname", "start").distinct().select("seqname", "start", F.lit(None).cast(p_type).alias("p")).unionByName(begun)
+    starts = starts.withColumn("t", F.expr(f"(start - pmod(start, {tile}L)) div {tile}L"))
+    own = F.last("p", ignorenulls=True).over(Window.partitionBy("seqname", "t").orderBy("start", F.col("p").isNull()))
+    earlier = F.last(F.max("p"), ignorenulls=True).over(Window.partitionBy("seqname").orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
+    before = starts.groupBy("seqname", "t").agg(earlier.alias("before"))
+    placed = starts.select("seqname", "t", "start", own.alias("own"), "p").where("p is null").join(before, ["seqname", "t"])
+    home = placed.select("seqname", "start", F.coalesce("own", "before").alias("p"))
+    # one row for the strand and one for each column, that of the strand counts
+    cells = [F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v")) for i, c in enumerate(["strand", *columns])]
+    long = good.select("seqname", "start", "line_no", F.explode(F.array(*cells)).alias("x")).where("x.c = 0 or x.v is not null")
+    values = long.groupBy("seqname", "start", "x.c", "x.v").agg(F.min("line_no").alias("first"), F.count("*").alias("n")).join(home, ["seqname", "start"])
+    values = values.groupBy("seqname", "p", "c", "v").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    strand = F.when(F.col("c") == 0, F.col("v"))
+    listed = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("c") == i, F.struct("first", "v")))), lambda s: s["v"]), "---").alias(c) for i, c in enumerate(columns, 1)]
+    out = values.groupBy("seqname", "p").agg(F.when(F.min(strand) == F.max(strand), F.min(strand)).otherwise("+").alias("strand"), *listed, F.sum(F.when(F.col("c") == 0, F.col("n"))).alias("n"))
+    return out.select("seqname", F.col("p.seg_start").alias("start"), F.col("p.seg_end").alias("end"), "strand", *columns, "n")
 
 
 def introns(rows: DataFrame) -> DataFrame:

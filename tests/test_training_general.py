@@ -31,9 +31,9 @@ def found(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("tile", [1, 4, 16, None])
+@pytest.mark.parametrize("tile", [1, 4, 16, 1 << 18])
 def test_periods_match_brute_force(spark, tile):
-    rng = random.Random(tile or 0)
+    rng = random.Random(tile)
     rows = []
     for _ in range(400):
         s = rng.randint(-40, 120)
@@ -51,6 +51,22 @@ def test_periods_edges(spark):
     assert found(periods_and_gaps(spark.createDataFrame([], schema))) == []
 
 
+def test_a_very_long_row_leaves_the_tiles_as_they_are(spark):
+    rng = random.Random(12)
+    rows = [("a", -5, 1 << 40), ("a", (1 << 40) + 2, (1 << 40) + 9), ("b", 7, 7), ("b", 1 << 20, (1 << 59) + 3), ("b", (1 << 59) + 3, (1 << 59) + 5)]
+    rows += [("a", s, s + rng.choice([0, 9, 700, 1 << 19, 1 << 20])) for s in (rng.randint(-(1 << 21), 1 << 21) for _ in range(300))]
+    df = spark.createDataFrame(rows, "seqname string, start long, end long")
+    assert found(periods_and_gaps(df)) == brute_periods(rows) == found(periods_and_gaps(df, tile=1 << 10))
+
+
+def test_a_hot_sequence_with_a_long_row(spark):
+    df = spark.range(60_000).selectExpr("'chr1' as seqname", "id * 1000 as start", "id * 1000 + 500 as end")
+    gaps = periods_and_gaps(df, tile=1 << 12).where("kind = 'gap' and seg_end - seg_start = 498")
+    assert gaps.count() == 59_999
+    longer = df.unionByName(spark.sql("select 'chr1' as seqname, -9L as start, 1L << 40 as end"))
+    assert found(periods_and_gaps(longer, tile=1 << 12)) == [("period", "chr1", -9, 1 << 40)]
+
+
 def brute_items(text, lone):
     out, i, n = [], 0, len(text)
 
