@@ -20,6 +20,8 @@ BUCKETS = 16
 LIGHT = 1024
 #: Rows that are counted together before they meet the buckets.
 ROWS = 200_000
+#: Candidates that may be broadcast (16 bytes each).
+MOST_BROADCAST = 200_000
 #: Groups of partitions that are merged before the last merge.
 GROUPS = 64
 
@@ -165,11 +167,11 @@ def heavy_hitters(df: DataFrame, column: str, share: str = "0.005") -> DataFrame
     """Rows (value, n_rows, n_all): each value that at least ``share`` of the rows with a value hold, with its exact count.
 
     Null and empty values don't count; values are compared exactly; repeated rows count each; ties at the share are in; an empty
-    table gives no rows. A second scan counts the rows of the candidates. What is broadcast are the candidates' 64-bit hashes, of which
-    there are at most ``BUCKETS`` x slots (about 4,000) whatever the input; a value that merely shares a hash falls out by its own count.
+    table gives no rows. A second scan counts the rows of the candidates. These are at most ``BUCKETS`` x slots, whatever the input: about 4,000 at 0.5 percent. Their 64-bit hashes are
+    broadcast if the share makes them no more than ``MOST_BROADCAST``, else Catalyst chooses the join; a value that merely shares a hash falls out by its own count.
     """
     found = heavy_candidates(df, column, share).groupBy(F.xxhash64("value").alias("h")).agg(F.max("n_all").alias("n_all"))
     rows = pick(df, value=column).where("value is not null and value <> ''").select(F.col("value").cast("string"))
-    rows = rows.withColumn("h", F.xxhash64("value")).join(F.broadcast(found), "h")
+    rows = rows.withColumn("h", F.xxhash64("value")).join(F.broadcast(found) if BUCKETS * _slots(Decimal(share)) <= MOST_BROADCAST else found, "h")
     counted = rows.groupBy("value").agg(F.count("*").alias("n_rows"), F.max("n_all").alias("n_all"))
     return counted.where(F.col("n_rows") >= F.lit(Decimal(share)) * F.col("n_all"))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from strandloom.session import cut_lineage, pick
 
-#: Items that are packed together, about.
-GROUP = 8192
+#: Bins that are packed together, about, and at most about how many items.
+BINS = 4096
+ITEMS = 65_536
 
 
 def _fill(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -36,94 +37,131 @@ def _fill(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+class _Search:
+    """The bins of a group that aren't full, their items as arrays, and the steps between them.
+
+    ``given`` are what a bin may give (sizes of items or of pairs), ``wanted`` what others may give back for it: nothing, an item or a pair. Of the given ones the largest
+    that fits takes a place: it is found for all others at once by bisection. A bin that found no step is asked again only about bins that changed since.
+    """
+
+    def __init__(self, bins: list[list[int]], sizes: np.ndarray, capacity: int):
+        self.sizes, self.capacity = sizes, capacity
+        self.bins = bins
+        self.fill = np.array([int(sizes[b].sum()) for b in bins], np.int64)
+        self.stamp = np.zeros(len(bins), np.int64)  # when a bin changed last
+        self.asked = np.full(len(bins), -1, np.int64)  # when it found no step last
+        self.now = 0  # steps so far
+        self.owner = np.zeros(len(sizes), np.int64)
+        for i, b in enumerate(bins):
+            self.owner[b] = i
+        self.collect()
+
+    def collect(self) -> None:
+        """Leave out the bins that are full or empty, and their items."""
+        self.open = np.flatnonzero((self.fill < self.capacity) & (self.fill > 0))
+        self.items = np.array([x for i in self.open for x in self.bins[i] if self.sizes[x]], np.int64)
+        self.pairs = None
+
+    def some_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, second, bin) of all pairs of items of one bin; made anew only when bins have changed."""
+        if self.pairs is None or self.pairs[0] != self.now:
+            items = self.items[np.argsort(self.owner[self.items], kind="stable")]
+            own = self.owner[items]
+            firsts, seconds = [], []
+            for step in range(1, len(items)):
+                at = np.flatnonzero(own[step:] == own[:-step])
+                if not len(at):
+                    break
+                firsts.append(items[at])
+                seconds.append(items[at + step])
+            first, second = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (firsts, seconds))
+            self.pairs = (self.now, first, second, self.owner[first])
+        return self.pairs[1:]
+
+    def best(self, d: int, given: np.ndarray, bins: np.ndarray, wanted: np.ndarray | int) -> tuple[int, int, int] | None:
+        """(gain, place in given, place in bins) of the step that raises the squared fill most; ``given`` is sorted."""
+        if not len(given) or not len(bins):
+            return None
+        room = self.capacity - self.fill[bins]
+        k = np.searchsorted(given, wanted + room, "right") - 1
+        more = np.where(k >= 0, given[k] - wanted, 0)
+        gain = np.where(more > 0, more * (self.fill[bins] - self.fill[d] + more), 0)
+        at = int(gain.argmax())
+        return (int(gain[at]), int(k[at]), at) if gain[at] > 0 else None
+
+    def step(self, d: int) -> bool:
+        """Make the bin d give, if it can: an item, one for a smaller one, two for one, one for two, in this order."""
+        since = -1 if self.stamp[d] > self.asked[d] else self.asked[d]
+        wide = (self.fill >= self.fill[d]) & (self.fill < self.capacity) & (self.stamp > since)
+        wide[d] = False
+        bins = self.open[wide[self.open]]
+        if len(bins):
+            own = np.array([x for x in self.bins[d] if self.sizes[x]], np.int64)
+            own = own[np.argsort(self.sizes[own], kind="stable")]
+            singles = self.sizes[own]
+            items = self.items[wide[self.owner[self.items]]]
+            into, held = self.owner[items], self.sizes[items]
+            one = self.best(d, singles, bins, 0)
+            two = self.best(d, singles, into, held)
+            if one and (not two or one[0] >= two[0]):
+                return self.move(d, int(bins[one[2]]), [int(own[one[1]])], [])
+            if two:
+                return self.move(d, int(into[two[2]]), [int(own[two[1]])], [int(items[two[2]])])
+            i, j = np.triu_indices(len(own), 1)
+            sums = singles[i] + singles[j]
+            order = np.argsort(sums, kind="stable")
+            found = self.best(d, sums[order], into, held)
+            if found:
+                k = order[found[1]]
+                return self.move(d, int(into[found[2]]), [int(own[i[k]]), int(own[j[k]])], [int(items[found[2]])])
+            first, second, into = self.some_pairs()
+            use = wide[into]
+            first, second, into = first[use], second[use], into[use]
+            found = self.best(d, singles, into, self.sizes[first] + self.sizes[second])
+            if found:
+                return self.move(d, int(into[found[2]]), [int(own[found[1]])], [int(first[found[2]]), int(second[found[2]])])
+        self.asked[d] = self.now
+        return False
+
+    def move(self, d: int, a: int, give: list[int], take: list[int]) -> bool:
+        self.now += 1
+        for x in give:
+            self.bins[d].remove(x)
+        for y in take:
+            self.bins[a].remove(y)
+        self.bins[a] += give
+        self.bins[d] += take
+        moved = int(self.sizes[give].sum() - self.sizes[take].sum())
+        self.owner[give], self.owner[take] = a, d
+        self.fill[a] += moved
+        self.fill[d] -= moved
+        self.stamp[[a, d]] = self.now
+        if self.fill[d] == 0:  # items of no size, if there are any, go along
+            self.bins[a] += self.bins[d]
+            self.owner[self.bins[d]] = a
+            self.bins[d] = []
+        return True
+
+
 def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Local search on the bins that aren't full.
 
-    The emptiest bin gives to the others: an item moves, or is exchanged for a smaller one, or one for two or two for one, whichever
-    step raises the sum of squared fills most. A bin that is empty goes. When no step helps the emptiest bin, the next one
-    gives; it ends when no bin can give, or when there are no more bins than the total needs.
+    The bins, the emptiest first, give to fuller ones as long as they can, over and over: an item moves, or is exchanged for a smaller one, or two for one or one for two, whichever
+    step raises the sum of squared fills most. A bin that is empty goes. It ends when no bin finds a step, so that a second call changes nothing, or when
+    there are no more bins than the total needs.
     """
-    least = -(-int(sizes.sum()) // capacity)
-    bins = [b for b in bins if b]
-    fill = [int(sizes[b].sum()) for b in bins]
-    stuck: set[int] = set()
-    alive = {i for i in range(len(bins)) if fill[i] < capacity}
-    count = len(bins)
-    while count > max(1, least):
-        givers = sorted((fill[i], i) for i in alive if i not in stuck)
-        if not givers or len(alive) < 2:
+    least = max(1, -(-int(sizes.sum()) // capacity))
+    s = _Search([list(b) for b in bins if b], np.asarray(sizes, np.int64), capacity)
+    count = len(s.bins)
+    while count > least:
+        s.collect()
+        before = s.now
+        for d in s.open[np.argsort(s.fill[s.open], kind="stable")].tolist():
+            while 0 < s.fill[d] < capacity and count > least and s.asked[d] < s.now and s.step(d):
+                count -= int(s.fill[d] == 0)
+        if s.now == before:  # all were asked and none found a step
             break
-        d = givers[0][1]
-        others = [i for i in alive if i != d and fill[i] >= fill[d]]
-        step = _best_step(bins, fill, sizes, capacity, d, others)
-        if step is None:
-            stuck.add(d)
-            continue
-        a, give, take = step
-        for x in give:
-            bins[d].remove(x)
-        for y in take:
-            bins[a].remove(y)
-        bins[a] += give
-        bins[d] += take
-        moved = int(sizes[give].sum()) - (int(sizes[take].sum()) if take else 0)
-        fill[a] += moved
-        fill[d] -= moved
-        if fill[a] == capacity:
-            alive.discard(a)
-        if fill[d] == 0:  # items of no size, if there are any, go along
-            bins[a] += bins[d]
-            bins[d] = []
-            alive.discard(d)
-            count -= 1
-    return [b for b in bins if b]
-
-
-def _best_step(bins: list[list[int]], fill: list[int], sizes: np.ndarray, capacity: int, d: int, others: list[int]) -> tuple[int, list[int], list[int]] | None:
-    if not others:
-        return None
-    given = [x for x in bins[d] if sizes[x]]
-    owner = np.repeat(np.array(others), [len(bins[i]) for i in others])
-    items = np.concatenate([np.array(bins[i]) for i in others])
-    held = sizes[items]
-    filled = np.array(fill)
-    free = capacity - filled[owner]
-    lead = filled[owner] - fill[d]
-    best, step = 0, None
-    bins_at = np.array(others)
-    bin_free, bin_lead = capacity - filled[bins_at], filled[bins_at] - fill[d]
-
-    def consider(gain: np.ndarray, make) -> None:
-        nonlocal best, step
-        k = int(gain.argmax())
-        if gain[k] > best:
-            best, step = int(gain[k]), make(k)
-
-    for x in given:
-        s = int(sizes[x])
-        consider(np.where(bin_free >= s, s * (bin_lead + s), 0), lambda k, x=x: (int(bins_at[k]), [x], []))
-        more = s - held
-        consider(np.where((more > 0) & (more <= free), more * (lead + more), 0), lambda k, x=x: (int(owner[k]), [x], [int(items[k])]))
-    if step is not None:
-        return step
-    order = np.array(given)
-    for i in range(len(given)):  # two for one
-        for s, y in {(int(sizes[given[i]] + sizes[z]), z) for z in given[i + 1 :]}:
-            more = s - held
-            consider(np.where((more > 0) & (more <= free), more * (lead + more), 0), lambda k, x=given[i], y=y: (int(owner[k]), [x, y], [int(items[k])]))
-        if step is not None:
-            return step
-    for b in others:  # one for two
-        own = [y for y in bins[b] if sizes[y]]
-        room, ahead = capacity - fill[b], fill[b] - fill[d]
-        for i, y in enumerate(own):
-            for z in own[i + 1 :]:
-                more = sizes[order] - int(sizes[y] + sizes[z])
-                gain = np.where((more > 0) & (more <= room), more * (ahead + more), 0)
-                k = int(gain.argmax())
-                if gain[k] > 0:
-                    return b, [int(order[k])], [y, z]
-    return None
+    return [b for b in s.bins if b]
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -135,15 +173,16 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack_items(df: DataFrame, item: str, size: str, capacity: int, group: int = GROUP) -> DataFrame:
+def pack_items(df: DataFrame, item: str, size: str, capacity: int, bins: int = BINS, items: int = ITEMS) -> DataFrame:
     """Rows (item, part_no, size_start, size, bin_id): each item's place in bins of the capacity.
 
     An item is split only if it alone exceeds the capacity: into parts of the capacity and a rest, numbered from 0; size_start is where a
     part begins in its item. A null or negative size counts as 0; items without size have their row, in some bin. Repeated rows are items of their
     own, a null item is kept, an empty table gives no rows.
 
-    Items are spread by a hash of their row into groups of about ``group``, however they are keyed; each group is packed in one task
-    by best fit and local search and leaves at most a few bins that aren't full, a share of 1 / (bins of a group). Only sizes are shuffled.
+    Items are spread by a hash of their row into groups that need about ``bins`` bins (fewer where these would hold more than ``items`` items), however they are keyed;
+    each group is packed in one task by best fit and local search and leaves at most a few bins that aren't full, a share of 1 / (bins of a group). Only sizes are
+    shuffled. The sizes are computed, and counted, when this is called.
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
@@ -154,7 +193,8 @@ def pack_items(df: DataFrame, item: str, size: str, capacity: int, group: int =
     last = F.greatest(F.ceil(F.col("size") / c).cast("bigint") - 1, F.lit(0))
     rows = rows.select("item", "size", F.monotonically_increasing_id().alias("row"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part_no"))
     rows = rows.select("item", "part_no", (F.col("part_no") * c).alias("size_start"), F.least(c, F.col("size") - F.col("part_no") * c).alias("size"), "row")
-    groups = max(1, -(-rows.count() // group))
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    groups = max(1, -(-n // items), -(-total // (capacity * bins)))
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("row", "part_no"), F.lit(groups)))
 
     def one(rows: pa.Table) -> pa.Table:

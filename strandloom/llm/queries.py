@@ -27,6 +27,13 @@ def p4_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy_candidates(table(spark, sf_dir, "reads"), "seq").withColumnRenamed("value", "seq")
 
 
+def p4_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequent sequences, their exact counts, and whether these lie within the bounds of the sketch."""
+    reads = table(spark, sf_dir, "reads")
+    both = heavy_hitters(reads, "seq").select("value", "n_rows").join(heavy_candidates(reads, "seq"), "value", "left")
+    return both.select(F.col("value").alias("seq"), "n_rows", F.coalesce(F.col("n_rows").between(F.col("at_least"), F.col("at_most")), F.lit(False)).alias("within"), "n_all")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -50,8 +57,21 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The containers of the kind ``short``, with what they hold."""
-    return _packed(spark, sf_dir, "short").groupBy("bin_id").agg(F.count("*").alias("n_parts"), F.sum("n_tokens").alias("n_tokens"))
+    """The containers of every kind, with what they hold."""
+    kinds = [r["container_kind"] for r in table(spark, sf_dir, "containers").select("container_kind").orderBy("container_kind").collect()]  # the table is fixed: three rows
+    out = None
+    for kind in kinds:
+        bins = _packed(spark, sf_dir, kind).groupBy("capacity", "bin_id").agg(F.count("*").alias("n_parts"), F.sum("n_tokens").alias("n_tokens")).withColumn("container_kind", F.lit(kind))
+        out = bins if out is None else out.unionByName(bins)
+    return out
+
+
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed by their characters into containers of 2,000: of each its parts and characters, and whether all its containers hold no more than that."""
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    packed = pack_items(sizes, "doc_id", "n", 2000)
+    bins = packed.groupBy("bin_id").agg(F.sum("n").alias("held"))
+    return packed.join(bins, "bin_id").groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.sum("n").alias("n_chars"), F.max("size_start").alias("last_start"), (F.max("held") <= 2000).alias("fits"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +92,7 @@ def p8_described(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_texts(docs, rules)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_counts, p4_bounds, p6_ids, p6_round_trip, p7_packed, p7_bins, p8_found, p8_stats, p8_described)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_counts, p4_bounds, p4_within, p6_ids, p6_round_trip, p7_packed, p7_bins, p7_checked, p8_found, p8_stats, p8_described)}
 
 _HEAVY = "SELECT seq, count(*) AS n FROM reads WHERE seq <> '' GROUP BY seq HAVING count(*) * 200 >= (SELECT count(*) FROM reads WHERE seq <> '')"
 
@@ -92,5 +112,8 @@ ORACLES = {
     "p8_stats": _STATS,
     "p4_found": f"SELECT seq FROM ({_HEAVY})",
     "p4_counts": f"SELECT seq, n AS n_rows FROM ({_HEAVY})",
+    "p4_within": f"SELECT seq, n AS n_rows, true AS within, (SELECT count(*) FROM reads WHERE seq <> '') AS n_all FROM ({_HEAVY})",
+    "p7_checked": """SELECT doc_id, CAST(greatest(1, (length(text) + 1999) // 2000) AS BIGINT) AS n_parts, CAST(length(text) AS BIGINT) AS n_chars, CAST(greatest(0, (length(text) - 1) // 2000) * 2000 AS BIGINT) AS last_start, true AS fits
+        FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""",
     "p6_round_trip": "SELECT doc_id, true AS same FROM documents",
 }

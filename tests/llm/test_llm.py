@@ -13,7 +13,7 @@ from strandloom.llm import heavy
 from strandloom.llm.encode import TOKENIZERS, decode_ids, encode_block, encode_texts, vocabulary
 from strandloom.llm.heavy import Bucket, heavy_candidates, heavy_hitters
 from strandloom.llm.kinds import agreed_labels, learn_kinds, text_kinds
-from strandloom.llm.packing import improve, pack, pack_items
+from strandloom.llm.packing import _fill, improve, pack, pack_items
 from strandloom.llm.rules import Rule, apply_rules, case_sql, induce
 from strandloom.llm.textstats import DESCRIBED, FEATURES, body, measure, text_stats
 
@@ -128,10 +128,45 @@ def test_local_search_empties_bins():
         assert len(out) == -(-int(sizes.sum()) // capacity)
 
 
+@pytest.mark.parametrize("kind", ["log", "narrow", "wide", "small"])
+def test_local_search_ends_where_nothing_helps(kind):
+    """A second search changes nothing; and no single step by brute force raises the squared fill."""
+    rng = np.random.default_rng(7)
+    n, capacity = 400, 512
+    sizes = {"log": np.minimum(np.exp(rng.normal(5, 0.8, n)).astype(int), 512), "narrow": rng.integers(150, 200, n), "wide": rng.integers(60, 400, n), "small": rng.integers(0, 90, n)}[kind].astype(np.int64)
+    start = [list(range(i, min(i + 1, n))) for i in range(n)] if kind == "small" else None
+    bins = improve(start or _fill(sizes, capacity), sizes, capacity)
+    assert sorted(i for b in bins for i in b) == list(range(n)) and all(sizes[b].sum() <= capacity for b in bins)
+    again = improve([list(b) for b in bins], sizes, capacity)
+    assert sorted(map(sorted, again)) == sorted(map(sorted, bins))
+    if len(bins) > max(1, -(-int(sizes.sum()) // capacity)):
+        fill = [int(sizes[b].sum()) for b in bins]
+        for d, b in enumerate(bins):
+            for a, c in enumerate(bins):
+                if a != d and fill[a] >= fill[d] and fill[a] < capacity:
+                    room = capacity - fill[a]
+                    one, two = [int(sizes[x]) for x in b], [int(sizes[x]) for x in c]
+                    sums = lambda v: [v[i] + v[j] for i in range(len(v)) for j in range(i + 1, len(v)) if v[i] and v[j]]
+                    steps = [x for x in one] + [x - y for x in one for y in two] + [x - y for x in sums(one) for y in two if y] + [x - y for x in one for y in sums(two)]
+                    assert not any(0 < m <= room for m in steps)
+
+
+def test_local_search_is_fast_enough():
+    import time
+
+    sizes = np.random.default_rng(1).integers(150, 200, 8192)
+    t = time.process_time()
+    bins = pack(sizes, 512)
+    assert time.process_time() - t < 30  # about 3 s on an idle core
+    # a bin holds at most three; the t bins that hold three need room for the 3t smallest items at least, the others hold two
+    three = max(t for t in range(8192 // 3 + 1) if np.sort(sizes)[: 3 * t].sum() <= 512 * t)
+    assert len(set(bins.tolist())) <= 1.05 * (three + (8192 - 3 * three + 1) // 2)
+
+
 def test_packing_table(spark):
     rows = [(1, 25), (2, 10), (3, None), (4, 0), (None, 7), (None, 7), (5, -3), (6, 3)] + [(9, 4)] * 50
     df = spark.createDataFrame(rows, "doc_id long, n long")
-    got = pack_items(df, "doc_id", "n", 10, group=16).collect()
+    got = pack_items(df, "doc_id", "n", 10, bins=8).collect()
     assert Counter((r.doc_id, r.part_no, r.size_start, r.n) for r in got) == Counter([(1, 0, 0, 10), (1, 1, 10, 10), (1, 2, 20, 5), (2, 0, 0, 10), (3, 0, 0, 0), (4, 0, 0, 0), (None, 0, 0, 7), (None, 0, 0, 7), (5, 0, 0, 0), (6, 0, 0, 3)] + [(9, 0, 0, 4)] * 50)
     fill = Counter()
     for r in got:
