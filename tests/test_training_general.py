@@ -153,6 +153,24 @@ def test_attribute_columns_of_one_hot_entity(spark):
     assert got["x"] == "__".join(map(str, range(500))) and len(got) == 4
 
 
+def test_ordinals_are_unique_and_place_the_columns(spark):
+    df = spark.range(20_000).selectExpr("id as ord", "cast(id % 3000 as string) as index", "if(id % 2 = 0, 'level', 'tag') as attribute", "cast(id % 70 as string) as value")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)  # entities go on from batch to batch
+    try:
+        rows = attributes_to_columns(df, {"tag": "string", "level": "bigint"}, ordinal="nr").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert len(rows) == len({r.nr for r in rows}) == len({r["index"] for r in rows}) == 3000
+    for part in {r.nr >> 33 for r in rows}:  # dense in each partition, entities in order
+        own = sorted((r.nr, r["index"]) for r in rows if r.nr >> 33 == part)
+        assert [n for n, _ in own] == list(range(part << 33, (part << 33) + len(own))) and own == sorted(own, key=lambda x: x[1])
+    for r in rows[::50]:
+        i = int(r["index"])
+        values = [str(x % 70) for x in range(i, 20_000, 3000) if x % 2 == 1]
+        assert r.tag == "__".join(dict.fromkeys(values)) and r.level == (i % 70 if i % 2 == 0 else -1)
+
+
 def test_refused_lines(spark):
     good = "1,S1,r1,ACGT,!!!!,note"
     cases = {
