@@ -188,9 +188,9 @@ ORACLES = {
         c AS (SELECT gene_id, bool_or(feature = 'CDS') AS cds FROM e GROUP BY 1),
         s AS (SELECT e.gene_id, e.strand, e."start" - lag(e."start") OVER (PARTITION BY e.gene_id, e.transcript_id ORDER BY e.en, e.line_no) AS step FROM e JOIN c USING (gene_id) WHERE e.feature = CASE WHEN c.cds THEN 'CDS' ELSE 'exon' END)
         SELECT DISTINCT gene_id FROM s WHERE CASE WHEN strand = '-' THEN step > 0 ELSE step < 0 END""",
-    "gtf_rotated": """WITH g AS (SELECT line_no, seqname, (("start" - 1000001) % 100000000 + 100000000) % 100000000 + 1 AS s, (("end" - 1000001) % 100000000 + 100000000) % 100000000 + 1 AS e
-        FROM gtf WHERE "start" IS NOT NULL AND "end" IS NOT NULL AND "start" <= "end" AND "end" <= 100000000)
-        SELECT line_no, seqname, s AS "start", CASE WHEN s <= e THEN e ELSE 100000000 END AS "end", 1 AS part FROM g UNION ALL SELECT line_no, seqname, 1, e, 2 FROM g WHERE s > e""",
+    "gtf_rotated": """WITH f AS (SELECT line_no, seqname, "start" AS a, "end" AS b, greatest(100000000, max("end") OVER (PARTITION BY seqname)) AS n FROM gtf WHERE "start" IS NOT NULL AND "end" IS NOT NULL AND "start" <= "end"),
+        g AS (SELECT line_no, seqname, n, ((a - 1000001) % n + n) % n + 1 AS s, ((b - 1000001) % n + n) % n + 1 AS e FROM f)
+        SELECT line_no, seqname, s AS "start", CASE WHEN s <= e THEN e ELSE n END AS "end", 1 AS part FROM g UNION ALL SELECT line_no, seqname, 1, e, 2 FROM g WHERE s > e""",
     "gtf_key_values": f"""WITH {_R} SELECT line_no, 'gene_id "' || coalesce(gene_id, 'NA') || '"; gene_name "' || coalesce(gene_name, 'NA') || '"; transcript_id "' || coalesce(transcript_id, 'NA') || '"; ' AS attribute FROM r""",
     "gtf_coverage_runs": f"""WITH x AS (SELECT seqname, "start" AS p, 1 AS d FROM gtf WHERE feature = 'exon' AND {_GOOD} UNION ALL SELECT seqname, "end" + 1, -1 FROM gtf WHERE feature = 'exon' AND {_GOOD}),
         s AS (SELECT seqname, p, sum(d) AS d FROM x GROUP BY 1, 2 HAVING sum(d) <> 0),

@@ -9,7 +9,7 @@ from strandloom.functions.seqexpr import translate_dna
 from strandloom.operators import aggregates as G
 from strandloom.operators import align, clonotypes, reads
 from strandloom.plans import plotdata
-from strandloom.plans.read_queries import _MATCH, _pairs, _refs
+from strandloom.plans.read_queries import _AA, _MATCH, _pairs, _refs
 from strandloom.session import table
 
 
@@ -142,12 +142,8 @@ QUERIES = {
     )
 }
 
-_AA3 = " || ".join(
-    f"""(CASE WHEN regexp_full_match(upper(seq[{i}:{i + 2}]), '[ACGT]{{3}}') THEN substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', CAST(16 * (strpos('TCAG', upper(seq[{i}])) - 1) + 4 * (strpos('TCAG', upper(seq[{i + 1}])) - 1) + strpos('TCAG', upper(seq[{i + 2}])) AS BIGINT), 1) ELSE 'X' END)"""
-    for i in (1, 4, 7)
-)
 _CELLS = f"""
-c AS (SELECT DISTINCT sample, read_ind AS barcode, CASE WHEN mate = 'r1' THEN 'TRA' ELSE 'TRB' END AS chain, {_AA3} AS cdr3 FROM reads WHERE sample IS NOT NULL AND length(seq) >= 9),
+c AS (SELECT DISTINCT sample, read_ind AS barcode, CASE WHEN mate = 'r1' THEN 'TRA' ELSE 'TRB' END AS chain, {_AA.format(x='seq')} AS cdr3 FROM reads WHERE sample IS NOT NULL AND length(seq) >= 3),
 w AS (SELECT sample, barcode, string_agg(cdr3, ',' ORDER BY cdr3) FILTER (chain = 'TRA') AS "cdr3_TRA", string_agg(cdr3, ',' ORDER BY cdr3) FILTER (chain = 'TRB') AS "cdr3_TRB" FROM c WHERE barcode IS NOT NULL GROUP BY 1, 2)"""
 
 

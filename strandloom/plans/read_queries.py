@@ -219,7 +219,7 @@ ORACLES = {
     "seq_valid": """SELECT read_ind, mate, regexp_full_match(upper(seq), '[ACGTMRWSYKVHDBN+.-]*') AS dna, regexp_full_match(upper(seq), '[ACGUMRWSYKVHDBN+.-]*') AS rna,
         regexp_full_match(upper(seq), '[ARNDCQEGHILKMFPSTWYVUOBJZX*+.-]*') AS aa FROM reads""",
     "seq_rulers": f"""WITH {_PAIRS} SELECT read_ind, array_to_string(list_transform(range(1, length(r1_seq) + 1), lambda i: CASE WHEN r1_seq[i] = '-' THEN ' ' WHEN length(replace(r1_seq[1:i], '-', '')) % 5 = 0 THEN '|' ELSE '.' END), '') AS ruler,
-        array_to_string(list_transform(range(1, length(r2_seq) + 1), lambda i: CASE WHEN r1_seq[i] = r2_seq[i] THEN '.' ELSE r2_seq[i] END), '') AS dotted FROM p WHERE {_SAME} AND length(r1_seq) = length(r2_seq)""",
+        array_to_string(list_transform(range(1, length(r2_seq) + 1), lambda i: CASE WHEN r1_seq[i] = r2_seq[i] THEN '.' ELSE r2_seq[i] END), '') AS dotted FROM p WHERE {_SAME}""",
     "seq_duplicates": "SELECT seq, count(*) AS n, min(read_ind) AS first_read FROM reads WHERE seq <> '' GROUP BY 1",
     "seq_collapsed": """WITH c AS (SELECT text, count(*) AS n, min(doc_id) AS f FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT 'unique seq ' || row_number() OVER (ORDER BY f) || ' (' || n || ')' AS name, md5(text) AS text_md5, n FROM c""",
     "reads_pairs": f"WITH {_PAIRS} SELECT * FROM p",
@@ -266,7 +266,7 @@ ORACLES = {
         SELECT read_ind, seq_name, n AS position, seq FROM l JOIN u USING (read_ind, position)""",
     "near_parts": """WITH p AS (SELECT DISTINCT p_name, p_type FROM part) SELECT a.p_name, a.p_type, b.p_name AS q_name, b.p_type AS q_type, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS lv
         FROM p a JOIN p b ON a.p_type = b.p_type AND levenshtein(a.p_name, b.p_name) <= 3""",
-    "near_cdr3": f"""WITH t AS (SELECT CASE WHEN mate = 'r1' THEN 'TRA' ELSE 'TRB' END AS chain, {_AA.format(x="seq[1:36]")} AS cdr3 FROM reads WHERE length(seq) >= 36),
-        k AS (SELECT chain, cdr3 FROM t GROUP BY 1, 2 HAVING count(*) > 1), q AS (SELECT DISTINCT chain, cdr3 FROM t)
-        SELECT q.chain AS tcr_chain, q.cdr3 AS tcr_cdr3, k.chain AS vdj_chain, k.cdr3 AS vdj_cdr3, CAST(levenshtein(q.cdr3, k.cdr3) AS INTEGER) AS lv FROM q JOIN k ON levenshtein(q.cdr3, k.cdr3) <= 1""",
+    "near_cdr3": f"""WITH t AS MATERIALIZED (SELECT chain, cdr3, length(cdr3) AS n FROM (SELECT DISTINCT CASE WHEN mate = 'r1' THEN 'TRA' ELSE 'TRB' END AS chain, {_AA.format(x="seq")} AS cdr3 FROM reads WHERE length(seq) >= 3))
+        SELECT a.chain AS tcr_chain, a.cdr3 AS tcr_cdr3, b.chain AS vdj_chain, b.cdr3 AS vdj_cdr3, CAST(levenshtein(a.cdr3, b.cdr3) AS INTEGER) AS lv
+        FROM t a JOIN (SELECT t.*, n + unnest(range(-3, 4)) AS near FROM t) b ON a.n = b.near WHERE levenshtein(a.cdr3, b.cdr3) <= 3""",
 }
