@@ -12,7 +12,7 @@ CODONS = {a + b + c: _AMINO[16 * i + 4 * j + k] for i, a in enumerate(_BASES) fo
 
 # fixed values: main properties of the amino acids
 AA_PROPERTY = {
-    "polar": "STNQCY", "non polar": "GAVLIMPFW", "basic": "KRH", "acidic": "DE", "stop": "*",
+    "polar": "STNQC", "basic pos charge": "KRH", "stop": "*", "non polar": "AVLIMGP", "acidic neg charge": "DE", "non polar aromtic": "WFY",
 }
 
 

@@ -103,6 +103,27 @@ def fix_duplicate_names(rows: DataFrame, name: str = "gene_name", owner: str = "
     return joined.withColumn(name, F.when(F.col("_k").isNotNull(), F.concat(F.col(name), F.lit("--"), F.col("_k").cast("string"))).otherwise(F.col(name))).drop("_n", "_o", "_c", "_k")
 
 
+def fix_duplicates(rows: DataFrame, order: str = "line_no") -> DataFrame:
+    """Names that stand for several things made unique, in this order: a gene_name of several gene_ids, a gene_id of several gene_names, a transcript_id of several gene_ids, as
+    far as there are such columns; see ``fix_duplicate_names``. Rows are joined on both columns, so none is repeated."""
+    for name, owner in (("gene_name", "gene_id"), ("gene_id", "gene_name"), ("transcript_id", "gene_id")):
+        if {name, owner} <= set(rows.columns):
+            rows = fix_duplicate_names(rows, name, owner, order)
+    return rows
+
+
+#: Distinct attribute keys that a table may hold where all are asked for.
+MOST_KEYS = 1000
+
+
+def attribute_keys(gtf: DataFrame) -> list[str]:
+    """All attribute keys of the rows, in order: a job that runs when this is called. More than ``MOST_KEYS`` fail, as each is to be a column."""
+    found = attributes_long(gtf).select("attribute").distinct().limit(MOST_KEYS + 1).collect()
+    if len(found) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} attribute keys")
+    return sorted(r["attribute"] for r in found)
+
+
 def aggregate_exons(rows: DataFrame) -> DataFrame:
     """One exon per transcript: least start, greatest end, the most frequent of the rest, lines joined by ``---``."""
     exons = rows.where("feature = 'exon' and transcript_id is not null")
@@ -237,20 +258,22 @@ def rebase_to_gene(rows: DataFrame, left: int = 0, right: int = 0) -> DataFrame:
 
 def prepare_annotation(
     gtf: DataFrame, keys: list[str] | None = None, rename: dict[str, str] | None = None, remove_exons: bool = False, to_exon: list[str] | None = None, exons_only: bool = False, strict_names: bool = False,
-    prefix: str = "", clean: bool = True, replace_names: dict[str, str] | None = None, rotate: tuple[int, int] | None = None, one_exon: bool = False, merge: bool = False, need_exon: bool = False, as_text: bool = False,
+    prefix: str = "", clean: bool = True, replace_names: dict[str, str] | None = None, names_from: str | None = None, all_keys: bool = False, rotate: tuple[int, int] | None = None, one_exon: bool = False, merge: bool = False, need_exon: bool = False, as_text: bool = False,
 ) -> DataFrame:
-    """Annotation rows brought into order, step by step: features filtered and relabelled, attributes parsed, renamed and kept, gene names filled, replaced, cleaned and made
-    unique, positions rotated by (cut, length), exons of a transcript made one, overlapping rows merged, rows without an exon dropped, and keys written back as attribute text.
+    """Annotation rows brought into order, step by step: features filtered and relabelled, attributes parsed, renamed and kept (``all_keys``: every one there is), gene names filled
+    (with ``names_from`` from that column where a gene has none), replaced, cleaned, names and ids made unique, positions rotated by (cut, length), exons of a transcript made one, overlapping rows merged, rows without an exon dropped, and keys written back as attribute text.
     """
-    keys = keys or ["gene_id", "gene_name", "transcript_id", "transcript_name", "exon_number"]
+    keys = attribute_keys(gtf) if all_keys else keys or ["gene_id", "gene_name", "transcript_id", "transcript_name", "exon_number"]
     rows = with_attributes(relabel_features(gtf, remove_exons, to_exon, exons_only), keys, rename)
+    if names_from and "gene_name" not in rows.columns:
+        rows = rows.withColumn("gene_name", F.lit(None).cast("string"))
     if {"gene_id", "gene_name"} <= set(rows.columns):
         rows = fill_gene_names(rows, strict_names)
-        name = F.col("gene_name")
+        name = F.coalesce("gene_name", names_from) if names_from else F.col("gene_name")
         for old, new in (replace_names or {}).items():
             name = F.when(name == old, new).otherwise(name)
         rows = rows.withColumn("gene_name", clean_names(name, prefix) if clean else name)
-        rows = fix_duplicate_names(rows)
+        rows = fix_duplicates(rows)
     if rotate:
         rows = rotate_rows(rows.where("start is not null and end is not null and start <= end"), *rotate)
     if one_exon:

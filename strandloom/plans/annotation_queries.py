@@ -52,6 +52,11 @@ def gtf_fixed_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return A.fix_duplicate_names(_rows(spark, d)).select("line_no", "gene_id", "gene_name")
 
 
+def gtf_fixed_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Gene names, gene ids and transcript ids, each made unique by the one it belongs to."""
+    return A.fix_duplicates(_rows(spark, d)).select("line_no", "gene_id", "gene_name", "transcript_id")
+
+
 def gtf_aggregated_exons(spark: SparkSession, d: str) -> DataFrame:
     return A.aggregate_exons(_rows(spark, d))
 
@@ -106,7 +111,7 @@ def gtf_prepared(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        gtf_attributes, gtf_wide, gtf_filter, gtf_relabel, gtf_rename, gtf_with_exon, gtf_filled_names, gtf_fixed_duplicates, gtf_aggregated_exons, gtf_gene_spans,
+        gtf_attributes, gtf_wide, gtf_filter, gtf_relabel, gtf_rename, gtf_with_exon, gtf_filled_names, gtf_fixed_duplicates, gtf_fixed_ids, gtf_aggregated_exons, gtf_gene_spans,
         gtf_merged_overlaps, gtf_introns, gtf_exon_sums, gtf_best_cuts, gtf_wrapped_genes, gtf_rotated, gtf_key_values, gtf_coverage_runs, gtf_rebased, gtf_prepared,
     )
 }
@@ -120,6 +125,15 @@ def _key(k: str, name: str | None = None) -> str:
     return f"CASE WHEN len({own}) > 0 THEN array_to_string(list_transform({own}, lambda s: s.v), '__') END AS {name or k}"
 
 
+def _unique(before: str, after: str, name: str, owner: str) -> str:
+    """CTE ``after``: the rows of ``before`` with the names that several owners share numbered by the owners' first lines."""
+    return f"""{after}_q AS (SELECT {name} AS qn, {owner} AS qo, min(line_no) AS f FROM {before} WHERE {name} IS NOT NULL AND {owner} IS NOT NULL GROUP BY 1, 2),
+        {after}_k AS (SELECT *, count(*) OVER (PARTITION BY qn) AS c, row_number() OVER (PARTITION BY qn ORDER BY f, qo) AS k FROM {after}_q),
+        {after} AS (SELECT r.* REPLACE (CASE WHEN k.c > 1 THEN r.{name} || '--' || k.k ELSE r.{name} END AS {name}) FROM {before} r LEFT JOIN {after}_k k ON r.{name} = k.qn AND r.{owner} = k.qo)"""
+
+
+_FIXED = ", ".join(_unique(f"{'r' if i == 0 else f'u{i}'}", f"u{i + 1}", n, o) for i, (n, o) in enumerate((("gene_name", "gene_id"), ("gene_id", "gene_name"), ("transcript_id", "gene_id"))))
+
 _P = f"p AS (SELECT line_no, seqname, source, feature, \"start\", \"end\", score, strand, frame, attribute, {_KV} AS a FROM gtf)"
 _R = f"{_P}, r AS (SELECT line_no, seqname, source, feature, \"start\", \"end\", score, strand, frame, {', '.join(map(_key, KEYS))} FROM p)"
 _GOOD = 'seqname IS NOT NULL AND "start" IS NOT NULL AND "end" IS NOT NULL AND "start" <= "end"'
@@ -145,9 +159,7 @@ def _list_of(c: str) -> str:
 ORACLES = {
     "gtf_prepared": f"""WITH {_R}, c AS (SELECT gene_id, gene_name, row_number() OVER (PARTITION BY gene_id ORDER BY count(*) DESC, gene_name) AS k FROM r WHERE gene_name IS NOT NULL AND gene_id IS NOT NULL GROUP BY 1, 2),
         f AS (SELECT line_no, CASE WHEN feature = 'CDS' THEN 'exon' ELSE feature END AS feature, r.gene_id, transcript_id, regexp_replace(regexp_replace(coalesce(r.gene_name, c.gene_name), '[^A-Za-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS gene_name FROM r LEFT JOIN c ON r.gene_id = c.gene_id AND c.k = 1),
-        q AS (SELECT gene_name, gene_id, min(line_no) AS f FROM f WHERE gene_name IS NOT NULL AND gene_id IS NOT NULL GROUP BY 1, 2),
-        k AS (SELECT *, count(*) OVER (PARTITION BY gene_name) AS c, row_number() OVER (PARTITION BY gene_name ORDER BY f, gene_id) AS k FROM q),
-        n AS (SELECT f.line_no, f.feature, f.gene_id, f.transcript_id, CASE WHEN k.c > 1 THEN f.gene_name || '--' || k.k ELSE f.gene_name END AS gene_name FROM f LEFT JOIN k ON f.gene_name = k.gene_name AND f.gene_id = k.gene_id),
+        {_FIXED.replace("FROM r WHERE", "FROM f WHERE").replace("FROM r r", "FROM f r")}, n AS (SELECT * FROM u3),
         e AS (SELECT transcript_id, gene_id FROM n WHERE feature = 'exon' AND transcript_id IS NOT NULL)
         SELECT line_no, feature, gene_name, 'gene_id "' || coalesce(gene_id, 'NA') || '"; gene_name "' || coalesce(gene_name, 'NA') || '"; transcript_id "' || coalesce(transcript_id, 'NA') || '"; ' AS attribute FROM n
         WHERE feature IS DISTINCT FROM 'gene' AND transcript_id IN (SELECT transcript_id FROM e) OR feature = 'gene' AND gene_id IN (SELECT gene_id FROM e WHERE gene_id IS NOT NULL)""",
@@ -166,6 +178,7 @@ ORACLES = {
     "gtf_fixed_duplicates": f"""WITH {_R}, q AS (SELECT gene_name, gene_id, min(line_no) AS f FROM r WHERE gene_name IS NOT NULL AND gene_id IS NOT NULL GROUP BY 1, 2),
         k AS (SELECT *, count(*) OVER (PARTITION BY gene_name) AS c, row_number() OVER (PARTITION BY gene_name ORDER BY f, gene_id) AS k FROM q)
         SELECT line_no, r.gene_id, CASE WHEN k.c > 1 THEN r.gene_name || '--' || k.k ELSE r.gene_name END AS gene_name FROM r LEFT JOIN k ON r.gene_name = k.gene_name AND r.gene_id = k.gene_id""",
+    "gtf_fixed_ids": f"WITH {_R}, {_FIXED} SELECT line_no, gene_id, gene_name, transcript_id FROM u3",
     "gtf_aggregated_exons": f"""WITH {_R}, x AS (SELECT * FROM r WHERE feature = 'exon' AND transcript_id IS NOT NULL), {', '.join(map(_mode, _MODES))},
         b AS (SELECT transcript_id, min("start") AS "start", max("end") AS "end", string_agg(CAST(line_no AS VARCHAR), '---' ORDER BY line_no) AS "index" FROM x GROUP BY 1)
         SELECT b.*, CAST(1 AS BIGINT) AS exon_number, {', '.join(_MODES)} FROM b {' '.join(f'LEFT JOIN m_{c} USING (transcript_id)' for c in _MODES)}""",

@@ -90,7 +90,9 @@ ORACLES = {
     "region_joined": "SELECT doc_id, substr(text, 11, 20) || substr(text, 51, 40) AS seq FROM documents WHERE length(text) >= 100",
     "circle_rotated": "SELECT read_ind, mate, substr(seq, 8) || substr(seq, 1, 7) AS seq FROM reads WHERE length(seq) >= 20",
     "json_leaves": "SELECT event_id, k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE props IS NOT NULL)",
-    "aa_classes": "SELECT letter, CASE WHEN contains('STNQCY', letter) THEN 'polar' WHEN contains('GAVLIMPFW', letter) THEN 'non polar' WHEN contains('KRH', letter) THEN 'basic' WHEN contains('DE', letter) THEN 'acidic' WHEN letter = '*' THEN 'stop' END AS property FROM (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWYX*', '')) AS letter)",
+    "aa_classes": """SELECT letter, CASE WHEN letter IN ('S', 'T', 'N', 'Q', 'C') THEN 'polar' WHEN letter IN ('K', 'R', 'H') THEN 'basic pos charge' WHEN letter = '*' THEN 'stop'
+        WHEN letter IN ('A', 'V', 'L', 'I', 'M', 'G', 'P') THEN 'non polar' WHEN letter IN ('D', 'E') THEN 'acidic neg charge' WHEN letter IN ('W', 'F', 'Y') THEN 'non polar aromtic' END AS property
+        FROM (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWYX*', '')) AS letter)""",
     "random_sequences": "SELECT CAST(unnest(range(0, 200)) AS BIGINT) AS id, 30 AS n",
     "transcript_places": f"""WITH r AS (SELECT *, CASE WHEN len({_ITEMS}) > 0 THEN array_to_string(list_transform({_ITEMS}, lambda s: replace(substr(trim(s), 15), '"', '')), '__') END AS t FROM gtf WHERE feature = 'exon'),
         e AS (SELECT DISTINCT t AS transcript_id, seqname, strand, "start" AS s, "end" AS e FROM r WHERE t IS NOT NULL AND "start" IS NOT NULL AND "end" IS NOT NULL AND "start" <= "end"),

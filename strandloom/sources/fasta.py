@@ -68,16 +68,32 @@ def store_genome(sequences: DataFrame, folder: str, size: int = 1 << 16) -> None
     sequences.select("seqname", F.length("seq").cast("bigint").alias("bp"), leading("seq").alias("leading_n"), trailing("seq").alias("trailing_n")).write.mode("overwrite").parquet(f"{folder}/lengths")
 
 
+#: Distinct names without a sequence that a call may hold.
+MOST_MISSING = 1000
+
+
+def nearest_sequence_names(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (wanted, nearest): of all names of ``known`` (seqname) the one at the least edit distance from each name of ``asked`` (wanted), of equals the first in order.
+
+    The asked names are a query set of at most ``MOST_MISSING`` names (more fail), fetched when this is called: each stands as a constant in one pass over the known
+    names, whose best are brought together by a partial aggregation.
+    """
+    names = sorted(r["wanted"] for r in asked.select("wanted").where("wanted is not null").distinct().limit(MOST_MISSING + 1).collect())
+    if len(names) > MOST_MISSING:
+        raise ValueError(f"more than {MOST_MISSING} names that no sequence has")
+    if not names:
+        return asked.sparkSession.createDataFrame([], "wanted string, nearest string")
+    rows = known.select("seqname", F.explode(F.array(*map(F.lit, names))).alias("wanted"))
+    return rows.groupBy("wanted").agg(F.min(F.struct(F.levenshtein("wanted", "seqname").alias("lv"), "seqname"))["seqname"].alias("nearest"))
+
+
 def genome_region(spark: SparkSession, folder: str, queries: DataFrame, size: int = 1 << 16) -> DataFrame:
-    """Rows (query, seqname, start, end, seq): stretches like ``chr2:100-200`` of a stored genome. A name that isn't there gives way to the nearest by edit distance,
-    of equals the first; only the chunks of the regions are read."""
-    known = spark.read.parquet(f"{folder}/lengths")
-    asked = queries.select("query", parse_region(F.col("query")).alias("r")).select("query", F.col("r.seqname").alias("wanted"), F.col("r.first").alias("start"), F.col("r.last").alias("end")).where("wanted is not null")
+    """Rows (query, seqname, start, end, seq): stretches like ``chr2:100-200`` of a stored genome. A name that isn't there gives way to the nearest by edit distance of all names,
+    of equals the first; only the chunks of the regions are read. A query that can't be read, or without a base in its stretch, keeps its row with nulls."""
+    known = spark.read.parquet(f"{folder}/lengths").select("seqname").distinct()
+    asked = queries.select("query", parse_region(F.col("query")).alias("r")).select("query", F.col("r.seqname").alias("wanted"), F.col("r.first").alias("start"), F.col("r.last").alias("end"))
     exact = asked.join(known.select(F.col("seqname").alias("k")), F.col("wanted") == F.col("k"), "left")
-    missing = exact.where("k is null").select("wanted").distinct()
-    # names are few: a genome's sequences against the misspelled names asked for, by their first letter or the common prefix
-    near = missing.withColumn("p", F.lower(F.regexp_replace("wanted", "^(?i)chr", "")).substr(1, 1)).join(known.select("seqname", F.lower(F.regexp_replace("seqname", "^(?i)chr", "")).substr(1, 1).alias("q")), F.col("p") == F.col("q"))
-    best = near.groupBy("wanted").agg(F.min_by("seqname", F.struct(F.levenshtein("wanted", "seqname"), F.col("seqname"))).alias("nearest"))
-    named = exact.join(best, "wanted", "left").select("query", F.coalesce("k", "nearest").alias("seqname"), "start", "end").where("seqname is not null")
-    seqs = regions_from_chunks(named, spark.read.parquet(f"{folder}/chunks"), ["query"], size)
-    return named.join(seqs, "query")
+    best = nearest_sequence_names(exact.where("k is null"), known).withColumnRenamed("wanted", "w")
+    named = exact.join(best, F.col("wanted") == F.col("w"), "left").select("query", F.coalesce("k", "nearest").alias("seqname"), "start", "end")
+    seqs = regions_from_chunks(named.where("seqname is not null and start >= 1 and start <= end").distinct(), spark.read.parquet(f"{folder}/chunks"), ["query"], size)
+    return named.join(seqs, "query", "left")

@@ -10,7 +10,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -155,21 +155,40 @@ def read_fastq_pair(spark: SparkSession, r1: str, r2: str) -> DataFrame:
     return side(r1, "r1").join(side(r2, "r2"), "read_ind", "full")
 
 
-def read_bam(spark: SparkSession, path: str, ranges: list[tuple[str, int, int]] | None = None, tags: list[str] | None = None, revcomp_minus: bool = False) -> DataFrame:
-    """Alignments whose position lies in one of the ranges, with tags as columns and quality figures; minus-strand reads turned to their own strand if asked."""
-    from strandloom.functions.seqexpr import quality_stats, revcomp
+def reference_length(cigar: Column) -> Column:
+    """The positions of the reference that a CIGAR string spans; 1 without one."""
+    spans = F.regexp_extract_all(cigar, F.lit(r"(\d+)[MDN=X]"), F.lit(1))
+    return F.greatest(F.lit(1), F.coalesce(F.aggregate(spans, F.lit(0), lambda n, x: n + x.cast("int")), F.lit(1)))
+
+
+def in_ranges(rows: DataFrame, ranges: list[tuple[str, int, int]]) -> DataFrame:
+    """Alignments (rname, pos, cigar) that share a position with a range (name, first, last), once for each range, which ``genomic_range`` names as ``name:first-last``."""
+    end = F.col("pos") + reference_length(F.col("cigar")) - 1
+    hits = [F.when((F.col("rname") == n) & (F.col("pos") <= b) & (end >= a), F.lit(f"{n}:{a}-{b}")) for n, a, b in ranges]
+    return rows.withColumn("genomic_range", F.explode(F.array_compact(F.array(*hits))))
+
+
+def oriented(rows: DataFrame, revcomp_minus: bool = False, revcomp_plus: bool = False) -> DataFrame:
+    """Reads of the minus or plus strand with their sequence reverse-complemented and their quality reversed."""
+    from strandloom.functions.seqexpr import revcomp
+
+    for turned, strand in ((revcomp_minus, "-"), (revcomp_plus, "+")):
+        if turned:
+            own = F.col("strand") == strand
+            rows = rows.withColumn("seq", F.when(own, revcomp("seq")).otherwise(F.col("seq"))).withColumn("qual", F.when(own, F.reverse("qual")).otherwise(F.col("qual")))
+    return rows
+
+
+def read_bam(spark: SparkSession, path: str, ranges: list[tuple[str, int, int]] | None = None, tags: list[str] | None = None, revcomp_minus: bool = False, revcomp_plus: bool = False) -> DataFrame:
+    """Alignments, with ``ranges`` those that overlap one (see ``in_ranges``), with qwidth, tags as columns and quality figures; reads of a strand turned if asked."""
+    from strandloom.functions.seqexpr import quality_stats
 
     spark.dataSource.register(BamSource)
     rows = spark.read.format("bam").option("path", path).load()
     if ranges:
-        cond = F.lit(False)
-        for name, a, b in ranges:
-            cond = cond | ((F.col("rname") == name) & F.col("pos").between(a, b))
-        rows = rows.where(cond)
-    if revcomp_minus:
-        turned = F.col("strand") == "-"
-        rows = rows.withColumn("seq", F.when(turned, revcomp("seq")).otherwise(F.col("seq"))).withColumn("qual", F.when(turned, F.reverse("qual")).otherwise(F.col("qual")))
-    return rows.select("*", *quality_stats("qual"), *[F.try_element_at("tags", F.lit(t)).alias(t) for t in tags or []])
+        rows = in_ranges(rows, ranges)
+    rows = oriented(rows, revcomp_minus, revcomp_plus)
+    return rows.select("*", F.length("seq").alias("qwidth"), *quality_stats("qual"), *[F.try_element_at("tags", F.lit(t)).alias(t) for t in tags or []])
 
 
 def parse_genbank(text: str) -> tuple[list[tuple], str]:

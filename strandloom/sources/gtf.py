@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.seqexpr import revcomp
-from strandloom.operators.annotation import attribute_of, fix_duplicate_names, key_value_column, parse_attributes
+from strandloom.operators.annotation import attribute_of, fix_duplicates, key_value_column, parse_attributes
 
 SCHEMA = "seqname string, source string, feature string, start bigint, end bigint, score string, strand string, frame string, attribute string"
 
@@ -26,10 +26,10 @@ def gtf_line(attribute: Column | str = "attribute") -> Column:
 
 
 def write_gtf(df: DataFrame, path: str, header: list[str] | None = None, keys: list[str] | None = None, unique: bool = True, gzip: bool = False) -> None:
-    """GTF text in the order of line_no, below header lines. With ``keys`` the attribute is made of those columns, gene names shared by several gene ids first made unique."""
+    """GTF text in the order of line_no, below header lines. With ``keys`` the attribute is made of those columns, names and ids that stand for several things first made unique."""
     rows = df
     if keys and unique and {"gene_id", "gene_name"} <= set(df.columns):
-        rows = fix_duplicate_names(rows)
+        rows = fix_duplicates(rows)
     line = gtf_line(key_value_column(rows, keys)) if keys else gtf_line()
     text = rows.select(F.col("line_no").alias("o"), line.alias("value"))
     if header:

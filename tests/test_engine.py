@@ -52,6 +52,10 @@ def test_scalars(spark):
     assert {r.k: r.t for r in types} == {"a": "DNA", "b": "RNA", "c": "AA"}
 
 
+def test_amino_acid_classes(spark):
+    assert [one(spark, S.aa_property(F.lit(c))) for c in "WYGCk*X"] == ["non polar aromtic", "non polar aromtic", "non polar", "polar", "basic pos charge", "stop", None]
+
+
 def test_rotation(spark):
     xs = [one(spark, rotate_position(F.lit(x), 66, 100)) for x in (1, 65, 66, 91, 100)]
     assert xs == [36, 100, 1, 26, 35]
@@ -88,6 +92,9 @@ def test_merge_and_names(spark):
     assert got == [("1", 1, 12, "+", "g1---g2---g4", 3), ("1", 13, 14, "+", "g3", 1)]
     names = spark.createDataFrame([(1, "g1", "X"), (2, "g2", "X"), (3, "g3", "Y"), (4, "g1", "X"), (5, None, "X")], "line_no long, gene_id string, gene_name string")
     assert [r.gene_name for r in A.fix_duplicate_names(names).orderBy("line_no").collect()] == ["X--1", "X--2", "Y", "X--1", "X"]
+    ids = spark.createDataFrame([(1, "g", "X", "t"), (2, "g", "Y", "t"), (3, "h", "X", "t"), (4, "g", None, "t"), (5, None, "X", None)], "line_no long, gene_id string, gene_name string, transcript_id string")
+    fixed = [tuple(r)[1:] for r in A.fix_duplicates(ids).orderBy("line_no").select("line_no", "gene_id", "gene_name", "transcript_id").collect()]
+    assert fixed == [("g--1", "X--1", "t--1"), ("g--2", "Y", "t--2"), ("h", "X--2", "t--3"), ("g", None, "t--4"), (None, "X", None)]
     with pytest.raises(Exception, match="several gene names"):
         A.fill_gene_names(spark.createDataFrame([("g", "A"), ("g", "B")], "gene_id string, gene_name string"), strict=True).collect()
 
@@ -352,9 +359,9 @@ def test_fasta_files(spark, tmp_path):
     assert text.startswith(">x\nACG\nTA\n>seq_")
     seqs = fasta.read_fasta(spark, str(tmp_path / "a.fa"), comment=";").select("seqname", "seq")
     fasta.store_genome(seqs, str(tmp_path / "g"), size=2)
-    asked = spark.createDataFrame([("chr2:2-5",), ("chr1O:3-4",)], "query string")
+    asked = spark.createDataFrame([("chr2:2-5",), ("chr1O:3-4",), ("qhr2:1-2",), ("nothing",), ("chrX:5-9",)], "query string")
     got = {r.query: (r.seqname, r.seq) for r in fasta.genome_region(spark, str(tmp_path / "g"), asked, size=2).collect()}
-    assert got == {"chr2:2-5": ("chr2", "CGTA"), "chr1O:3-4": ("chr10", "GG")}
+    assert got == {"chr2:2-5": ("chr2", "CGTA"), "chr1O:3-4": ("chr10", "GG"), "qhr2:1-2": ("chr2", "AC"), "nothing": (None, None), "chrX:5-9": ("chrX", None)}
     ends = {r.seqname: (r.leading_n, r.trailing_n) for r in spark.read.parquet(str(tmp_path / "g/lengths")).collect()}
     assert ends["chr10"] == (2, 1)
 
@@ -397,7 +404,11 @@ def test_read_formats(spark, tmp_path):
     assert (a.rname, a.strand, a.pos, a.cigar, a.seq, a.qual, a.CB, a.NH, a.n_below) == ("chr1", "-", 10, "3M", "ACG", "II#", "AAA", "1", 1)
     assert (rows["b"].strand, rows["b"].pos) == (None, None)
     turned = files.read_bam(spark, str(tmp_path / "x.bam"), [("chr1", 1, 20)], revcomp_minus=True).collect()
-    assert [(r.seq, r.qual) for r in turned] == [("CGT", "#II")]
+    assert [(r.seq, r.qual, r.qwidth, r.genomic_range) for r in turned] == [("CGT", "#II", 3, "chr1:1-20")]
+    over = lambda *ranges: [r.genomic_range for r in files.read_bam(spark, str(tmp_path / "x.bam"), list(ranges)).collect()]
+    # positions 10 to 12: a read that reaches into a range belongs to it, and to each one
+    assert over(("chr1", 12, 90)) == ["chr1:12-90"] and over(("chr1", 13, 90), ("chr1", 1, 9), ("chr2", 1, 90)) == [] and over(("chr1", 1, 10), ("chr1", 11, 11)) == ["chr1:1-10", "chr1:11-11"]
+    assert one(spark, files.reference_length(F.col("c")), c="2S3M1I2D4N1=1X5H") == 11
 
 
 def test_genbank_and_json(spark, tmp_path):
