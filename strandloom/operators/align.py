@@ -15,6 +15,8 @@ from strandloom.session import cut_lineage
 #: Cells of all matrices that are held at once.
 CELLS = 24_000_000
 
+MODES = ("global", "semiglobal", "overlap", "global-local", "local-global", "local")
+
 _DIAGONAL, _UP, _LEFT, _STOP = range(4)
 
 
@@ -28,10 +30,13 @@ def _codes(texts: list[str], width: int, fill: int) -> np.ndarray:
 def align_pairs(first: list[str], second: list[str], mode: str = "semiglobal", match: float = 1, mismatch: float = -1, gap_open: float = 0, gap_extend: float = -1, matrix: dict | None = None, least: float | None = None) -> list[tuple | None]:
     """(score, first aligned, second aligned, first start, first end, second start, second end) of each pair; starts from 1.
 
-    Modes: global; semiglobal (gaps at either end are free, on both); local (the best stretch); overlap is semiglobal. A gap of n costs gap_open + n x gap_extend
+    Modes: global; semiglobal (gaps at either end are free, on both) and overlap, the same; global-local (the whole first in a stretch of the second) and local-global (the other way
+    round), of which only the stretch is returned; local (the best stretch of both). Another mode fails. A gap of n costs gap_open + n x gap_extend
     (both given as what is added, so negative or 0). At a tie the diagonal comes before a gap in the first sequence, and that before one in the second. ``matrix``
     scores letter pairs instead of match and mismatch. Below the score ``least`` nothing is traced: the aligned strings are None. A null gives None.
     """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}; there are {MODES}")
     out: list[tuple | None] = [None] * len(first)
     todo = [i for i in range(len(first)) if first[i] is not None and second[i] is not None]
     todo.sort(key=lambda i: (len(first[i]), len(second[i])))
@@ -55,7 +60,9 @@ def _block(first, second, mode, match, mismatch, gap_open, gap_extend, matrix, l
     lx, ly = np.array([len(s) for s in first]), np.array([len(s) for s in second])
     w, h = int(lx.max()), int(ly.max())
     x, y = _codes(first, w, -1), _codes(second, h, -2)
-    free, local = mode in ("semiglobal", "overlap"), mode == "local"
+    free_first = mode in ("semiglobal", "overlap", "local-global")  # ends of the first sequence beyond the second cost nothing
+    free_second = mode in ("semiglobal", "overlap", "global-local")
+    local = mode == "local"
     low = -1e9
     best = np.zeros((n, h + 1, w + 1), np.float32)
     way = np.full((n, h + 1, w + 1), _STOP, np.uint8)
@@ -66,8 +73,10 @@ def _block(first, second, mode, match, mismatch, gap_open, gap_extend, matrix, l
     edge = lambda k: gap_open + gap_extend * np.arange(1, k + 1)
     if not local:
         way[:, 0, 1:], way[:, 1:, 0] = _LEFT, _UP
-        if not free:
-            best[:, 0, 1:], best[:, 1:, 0] = edge(w), edge(h)
+        if not free_first:
+            best[:, 0, 1:] = edge(w)
+        if not free_second:
+            best[:, 1:, 0] = edge(h)
         if affine:
             long_left[:, 0, 2:], long_up[:, 2:, 0] = True, True
     table = None
@@ -81,11 +90,11 @@ def _block(first, second, mode, match, mismatch, gap_open, gap_extend, matrix, l
         xi, yi = lookup(x), lookup(y)
     for i in range(1, h + 1):
         left_gap = np.full(n, low, np.float32)
-        last_row = free & (ly == i)
+        last_row = free_first & (ly == i)
         for j in range(1, w + 1):
             same = table[xi[:, j - 1], yi[:, i - 1]] if table is not None else np.where(x[:, j - 1] == y[:, i - 1], match, mismatch)
             diagonal = best[:, i - 1, j - 1] + same
-            last_col = free & (lx == j)
+            last_col = free_second & (lx == j)
             if affine:
                 opened, longer = best[:, i - 1, j] + np.where(last_col, 0, gap_open + gap_extend), up_gap[:, j] + np.where(last_col, 0, gap_extend)
                 long_up[:, i, j] = longer > opened
@@ -139,7 +148,17 @@ def _block(first, second, mode, match, mismatch, gap_open, gap_extend, matrix, l
                 if affine and long_left[k, i, j]:
                     forced = _LEFT
                 j -= 1
-        out.append((score, "".join(reversed(a)), "".join(reversed(b)), j + 1, end1, i + 1, end2))
+        a, b = "".join(reversed(a)), "".join(reversed(b))
+        if mode in ("global-local", "local-global"):  # without the free ends
+            inner = a if mode == "global-local" else b
+            cut, keep = len(inner) - len(inner.lstrip("-")), len(inner.rstrip("-"))
+            behind = len(inner) - keep
+            a, b = a[cut:keep], b[cut:keep]
+            if mode == "global-local":
+                i, end2 = i + cut, end2 - behind
+            else:
+                j, end1 = j + cut, end1 - behind
+        out.append((score, a, b, j + 1, end1, i + 1, end2))
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.spread import spread_join
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i of a string of that length, cut into ``parts``; longer segments come last."""
@@ -18,11 +19,13 @@ def _pieces(places: Column, i: int, text: Column, length: Column) -> Column:
 
 
 def edit_join(left: DataFrame, right: DataFrame, left_str: str, right_str: str, most: int, left_block: Column | None = None, right_block: Column | None = None) -> DataFrame:
-    """Rows (*left, *right, lv): pairs of one block whose edit distance is at most ``most``. Both sides are made distinct; nulls match nothing.
+    """Rows (*left, *right, lv): pairs of one block whose edit distance is at most ``most``. Both sides are made distinct; nulls match nothing; no column of one side is named
+    like one of the other.
 
     If the distance is at most k, one of k + 1 segments of the right string occurs unchanged in the left one, shifted by no more than the edits before or
     behind it allow. So segments are joined by equality with the substrings at those places, and only such pairs are verified:
     no pair is lost, and no group of one block is paired with itself. Strings of at most k letters, which have empty segments, are joined by length.
+    Segments that very many strings share, such as a common beginning, are dealt out to several groups (``spread_join``).
     """
     k, parts = most, most + 1
     lb = left_block if left_block is not None else F.lit("")
@@ -52,7 +55,10 @@ def edit_join(left: DataFrame, right: DataFrame, left_str: str, right_str: str,
         offers.append(_pieces(places, i, F.col(left_str), n))
     short = F.when(F.col("_want") <= k, F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("seg")))).otherwise(F.array().cast("array<struct<i:int,seg:string>>"))
     asked = a.select("*", F.explode(F.array_distinct(F.concat(*offers, short))).alias("_o")).select(*a.columns, F.col("_o.i").alias("_oi"), F.col("_o.seg").alias("_oseg"))
-    near = asked.join(keys, (F.col("_block") == F.col("_rblock")) & (F.col("_want") == F.col("_len")) & (F.col("_oi") == F.col("_i")) & (F.col("_oseg") == F.col("_seg")))
+    names = ["_k_block", "_k_len", "_k_i", "_k_seg"]  # a common beginning makes some of these keys hot
+    asked = asked.select(*left.columns, *[F.col(c).alias(n) for c, n in zip(("_block", "_want", "_oi", "_oseg"), names)])
+    keys = keys.select(*right.columns, *[F.col(c).alias(n) for c, n in zip(("_rblock", "_len", "_i", "_seg"), names)])
+    near = spread_join(asked, keys, names)
     lv = F.levenshtein(F.col(left_str), F.col(right_str), k)
     found = near.withColumn("lv", lv).where("lv >= 0").select(*left.columns, *right.columns, "lv")
     return found.distinct()
@@ -69,8 +75,8 @@ def nearest_names(queries: DataFrame, names: DataFrame, query: str, name: str) -
 
 
 def chain_column(df: DataFrame, columns: list[str], values: tuple[str, ...] = ("TRA", "TRB"), rows: int = 100) -> str:
-    """The column whose first rows hold the chain names most often: a look at the schema, not at the data."""
-    head = df.limit(rows).agg(*[F.avg(F.upper(F.col(c).cast("string")).isin(list(values)).cast("double")).alias(c) for c in columns]).first()
+    """The column in which the first ``rows`` rows, in order of the columns, hold the chain names most often: it tells which column is meant, no row depends on it otherwise."""
+    head = df.select(*columns).orderBy(*columns).limit(rows).agg(*[F.avg(F.upper(F.col(c).cast("string")).isin(list(values)).cast("double")).alias(c) for c in columns]).first()
     return max(columns, key=lambda c: head[c] or 0.0)
 
 
@@ -92,3 +98,17 @@ def cdr3_hits(tcrs: DataFrame, known: DataFrame, most: int = 3, crossed: tuple[b
         hits = edit_join(a, b, "tcr_cdr3", "vdj_cdr3", most, F.col("tcr_chain"), other)
         out = hits if out is None else out.unionByName(hits)
     return out
+
+
+def with_similarity(hits: DataFrame, matrix: dict, first: str = "vdj_cdr3", second: str = "tcr_cdr3", name: str = "PAM30", gap_open: float = -10, gap_extend: float = -4) -> DataFrame:
+    """The hits with ``name``, the score of the global alignment by a substitution matrix such as PAM30 (``align.read_matrix``), and ``name``_corr: that score divided by the mean of
+    the two sequences' scores with themselves. Distinct pairs are scored once; a null sequence gives nulls."""
+    from strandloom.operators.align import align_columns
+
+    pairs = hits.select(F.col(first).alias("_a"), F.col(second).alias("_b")).where("_a is not null and _b is not null").distinct()
+    every = pairs.unionByName(pairs.selectExpr("_a", "_a as _b")).unionByName(pairs.selectExpr("_b as _a", "_b")).distinct()
+    scored = align_columns(every, ["_a", "_b"], "_a", "_b", mode="global", gap_open=gap_open, gap_extend=gap_extend, matrix=matrix, least=float("inf")).select("_a", "_b", "score")
+    own = scored.where("_a = _b").select(F.col("_a").alias("_s"), F.col("score").alias("_own"))
+    pairs = scored.join(own, F.col("_a") == F.col("_s")).withColumnRenamed("_own", "_own_a").drop("_s").join(own, F.col("_b") == F.col("_s")).drop("_s")
+    pairs = pairs.select("_a", "_b", F.col("score").alias(name), (F.col("score") / ((F.col("_own_a") + F.col("_own")) / 2)).alias(f"{name}_corr"))
+    return hits.join(pairs, (F.col(first) == F.col("_a")) & (F.col(second) == F.col("_b")), "left").drop("_a", "_b")

@@ -135,11 +135,19 @@ def subsequences(features: DataFrame, sequences: DataFrame, by: list[str], rever
     return joined.select(*by, F.when(F.col("_r"), revcomp("_j")).otherwise(F.col("_j")).alias("seq"))
 
 
-def chunk_sequences(sequences: DataFrame, size: int = 1 << 16) -> DataFrame:
-    """Rows (seqname, chunk_no, seq): long sequences in pieces of a fixed size, so that none is shuffled whole."""
-    n = F.floor((F.length("seq") - 1) / size)
-    rows = sequences.where(F.length("seq") > 0).select("seqname", "seq", F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint"))).alias("chunk_no"))
-    return rows.select("seqname", "chunk_no", F.substr(F.col("seq"), (F.col("chunk_no") * size + 1).cast("int"), F.lit(size)).alias("seq"))
+def chunk_sequences(sequences: DataFrame, size: int = 1 << 16, overlap: int = 0) -> DataFrame:
+    """Rows (seqname, chunk_no, seq): long sequences in pieces of a fixed size, and ``overlap`` letters more of the next, so that none is shuffled whole.
+
+    A sequence is cut in one walk over its letters, however long it is; the overlap is at most the size.
+    """
+    if overlap > size:
+        raise ValueError("the overlap is longer than a piece")
+    parts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    rows = sequences.where(F.length("seq") > 0).select("seqname", parts.alias("_p"))
+    if overlap:
+        more = F.transform("_p", lambda x, i: F.concat(x, F.coalesce(F.substr(F.get("_p", i + 1), F.lit(1), F.lit(overlap)), F.lit(""))))
+        rows = rows.select("seqname", more.alias("_p"))
+    return rows.select("seqname", F.posexplode("_p").alias("_i", "seq")).select("seqname", F.col("_i").cast("bigint").alias("chunk_no"), "seq")
 
 
 def regions_from_chunks(regions: DataFrame, chunks: DataFrame, by: list[str], size: int = 1 << 16) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.seqexpr import hamming, revcomp, share_below
+from strandloom.operators.positions import chunk_sequences
+from strandloom.operators.spread import spread_join
+from strandloom.session import cut_lineage
 
 
 def pair_reads(reads: DataFrame) -> DataFrame:
@@ -44,37 +47,59 @@ def qc_counts(pairs: DataFrame, steps: dict[str, dict[str, Column]]) -> DataFram
     return pairs.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
 
 
+#: Lengths of the words that reads and references are joined by, from the least.
+SEEDS = (4, 8, 12, 16)
+
+
+#: Letters of a reference that stand together in one row.
+CHUNK = 4096
+
+
 def match_sequences(reads: DataFrame, refs: DataFrame, most: float, read: str = "seq", ref: str = "ref_seq") -> DataFrame:
     """Rows (*reads' columns, *refs' columns), distinct: each read that occurs in a reference with at most ``most`` substitutions.
 
     Below 1, ``most`` is a share of the read's length; a read never mismatches whole. With k mismatches one of k + 1 parts of the read must occur exactly:
     the beginning of each part, of the greatest length of ``SEEDS`` that fits, is joined with the words of that length in the references, and the
     candidates' places are verified. So no link is lost and no pair without a common word is looked at. Null and empty sequences match nothing.
+
+    References are cut into chunks that overlap by the longest read; a word is a hash with the place it has, and only a candidate's place meets its chunk, so no
+    reference is carried along. A chunk is one row, so a chunk that very many candidates fall into is a skewed partition that AQE splits. Which lengths of words and which overlap are needed is asked of the distinct
+    reads, which are written once, when this is called (at most six numbers).
     """
-    r_cols, f_cols = reads.columns, refs.columns
-    n = F.length(read)
-    k = F.least((F.floor(n * F.lit(most)) if most < 1 else F.lit(int(most))).cast("int"), n - 1)
-    q = reads.where(F.length(read) > 0).distinct().withColumn("_k", k).withColumn("_part", F.floor(F.length(read) / (F.col("_k") + 1)).cast("int"))
-    word = F.lit(1)
+    q = reads.select(F.col(read).alias("_q")).where(F.length("_q") > 0).distinct()
+    n, k = F.length("_q"), F.least((F.floor(F.length("_q") * F.lit(most)) if most < 1 else F.lit(int(most))).cast("int"), F.length("_q") - 1)
+    q = q.withColumn("_k", k).withColumn("_part", F.floor(n / (F.col("_k") + 1)).cast("int"))
+    width = F.lit(1)
     for w in SEEDS:
-        word = F.when(F.col("_part") >= w, w).otherwise(word)
-    q = q.withColumn("_w", word)
-    seeds = q.select("*", F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("_i")).withColumn("_off", F.col("_i") * F.col("_part"))
-    seeds = seeds.withColumn("_seed", F.substr(F.col(read), F.col("_off") + 1, F.col("_w")))
-    d = refs.where(F.length(ref) > 0).distinct()
+        width = F.when(F.col("_part") >= w, w).otherwise(width)
+    q = q.withColumn("_w", width)
+    q = cut_lineage(q)  # read several times, and often dear to make
+    need = q.agg(F.collect_set("_w").alias("widths"), F.max(n).alias("longest")).first()
+    longest = need["longest"] or 1
+    size = max(CHUNK, longest + max(SEEDS))
+
+    d = refs.where(F.length(ref) > 0).distinct().withColumn("_ref_id", F.md5(ref))
+    texts = d.select(F.col("_ref_id").alias("seqname"), F.col(ref).alias("seq")).distinct()
+    chunks = chunk_sequences(texts, size, longest + max(SEEDS)).select(F.col("seqname").alias("_id"), F.col("chunk_no").alias("_chunk"), F.col("seq").alias("_text"))
     words = None
-    for w in (1, *SEEDS):
-        own = d.where(F.length(ref) >= w).select("*", F.lit(w).alias("_rw"), F.explode(F.sequence(F.lit(1), F.length(ref) - w + 1)).alias("_pos"))
+    for w in sorted(need["widths"]):
+        last = F.least(F.lit(size), F.length("_text") - w + 1)
+        spots = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda p: F.struct(p.alias("p"), F.xxhash64(F.substr(F.col("_text"), p, F.lit(w))).alias("h")))
+        own = chunks.select("_id", "_chunk", F.lit(w).alias("_w"), F.explode(F.when(last >= 1, spots)).alias("_s")).select("_id", "_w", F.col("_s.h").alias("_h"), (F.col("_chunk") * size + F.col("_s.p")).alias("_pos"))
         words = own if words is None else words.unionByName(own)
-    words = words.withColumn("_word", F.substr(F.col(ref), F.col("_pos"), F.col("_rw")))
-    found = seeds.join(words, (F.col("_w") == F.col("_rw")) & (F.col("_seed") == F.col("_word"))).withColumn("_at", F.col("_pos") - F.col("_off"))
-    found = found.where((F.col("_at") >= 1) & (F.col("_at") + F.length(read) - 1 <= F.length(ref)))
-    there = F.substr(F.col(ref), F.col("_at"), F.length(read))
-    return found.where((there == F.col(read)) | (hamming(there, F.col(read)) <= F.col("_k"))).select(*r_cols, *f_cols).distinct()
-
-
-#: Lengths of the words that reads and references are joined by, from the least.
-SEEDS = (4, 8, 12, 16)
+    found = None
+    if words is not None:
+        seeds = q.select("_q", "_k", "_w", F.explode(F.transform(F.sequence(F.lit(0), F.col("_k")), lambda i: i * F.col("_part"))).alias("_off"))
+        seeds = seeds.select("_q", "_k", "_off", "_w", F.xxhash64(F.substr(F.col("_q"), F.col("_off") + 1, F.col("_w"))).alias("_h"))
+        places = spread_join(seeds, words, ["_w", "_h"]).select("_q", "_k", "_id", (F.col("_pos") - F.col("_off")).alias("_at")).where("_at >= 1").distinct()
+        places = places.withColumn("_chunk", F.floor((F.col("_at") - 1) / size).cast("bigint"))
+        there = F.substr(F.col("_text"), (F.col("_at") - F.col("_chunk") * size).cast("int"), F.length("_q"))
+        met = places.join(chunks, ["_id", "_chunk"]).select("_q", "_k", "_id", there.alias("_there"))
+        found = met.where((F.length("_there") == F.length("_q")) & ((F.col("_there") == F.col("_q")) | (hamming(F.col("_there"), F.col("_q")) <= F.col("_k")))).select("_q", "_id").distinct()
+    else:
+        found = q.select("_q", F.lit("").alias("_id"))  # no read at all
+    out = reads.distinct().join(found, F.col(read) == F.col("_q")).join(d, F.col("_id") == F.col("_ref_id"))
+    return out.select(*reads.columns, *refs.columns)
 
 
 def match_pairs(pairs: DataFrame, refs: DataFrame, most: float) -> DataFrame:
@@ -93,7 +118,7 @@ def match_pairs(pairs: DataFrame, refs: DataFrame, most: float) -> DataFrame:
 
 
 def match_statistics(matches: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows (ref_name, side, matches_n, matches_freq, unique_freq, ref_targets_n) for the sides r1, r2 and paired; null where nothing matches.
+    """Rows (ref_name, side, matches_n, matches_freq, unique_n, unique_freq, ref_targets_n) for the sides r1, r2 and paired; none where nothing matches.
 
     Frequencies are of all reads of the side, and of the distinct reads.
     """
@@ -107,11 +132,32 @@ def match_statistics(matches: DataFrame, pairs: DataFrame) -> DataFrame:
     for side, cond, key, all_, unique in (("r1", F.col("in_r1"), F.col("a"), "n", "u_r1"), ("r2", F.col("in_r2"), F.col("b"), "n", "u_r2"), ("paired", F.col("in_r1") & F.col("in_r2"), F.struct("a", "b"), "n_both", "u_both")):
         own = m.where(cond).groupBy("ref_name").agg(F.count("*").alias("matches_n"), F.count_distinct(key).alias("_u"), F.count_distinct("ref_ind").alias("ref_targets_n"))
         own = own.join(F.broadcast(totals), F.lit(True))  # one row
-        own = own.select("ref_name", F.lit(side).alias("side"), "matches_n", (F.col("matches_n") / F.col(all_)).alias("matches_freq"), (F.col("_u") / F.col(unique)).alias("unique_freq"), "ref_targets_n")
+        own = own.select("ref_name", F.lit(side).alias("side"), "matches_n", (F.col("matches_n") / F.col(all_)).alias("matches_freq"), F.col("_u").alias("unique_n"), (F.col("_u") / F.col(unique)).alias("unique_freq"), "ref_targets_n")
         out = own if out is None else out.unionByName(own)
     return out
 
 
+def read_statistics(pairs: DataFrame) -> DataFrame:
+    """Rows (read, total_n, unique_n, unique_freq) for r1, r2 and paired: all reads of the side (of pairs those with both mates), the distinct ones, and their share."""
+    both = F.col("r1_seq").isNotNull() & F.col("r2_seq").isNotNull()
+    sides = (("r1", F.count("*"), F.col("r1_seq")), ("r2", F.count("*"), F.col("r2_seq")), ("paired", F.count_if(both), F.when(both, F.struct("r1_seq", "r2_seq"))))
+    rows = [F.struct(F.lit(n).alias("read"), total.alias("total_n"), F.count_distinct(key).alias("unique_n")) for n, total, key in sides]
+    return pairs.agg(F.array(*rows).alias("a")).select(F.inline("a")).withColumn("unique_freq", F.when(F.col("total_n") > 0, F.col("unique_n") / F.col("total_n")))
+
+
+def statistics_long(stats: DataFrame, by: list[str], side: str) -> DataFrame:
+    """Statistics as rows (*by, stat, value), the stat named ``side__name`` as in the wide form."""
+    names = [c for c in stats.columns if c not in (*by, side)]
+    return stats.select(*by, side, *[F.col(c).cast("double").alias(c) for c in names]).unpivot([*by, side], names, "_name", "value").select(*by, F.concat_ws("__", side, "_name").alias("stat"), "value")
+
+
+def statistics_wide(stats: DataFrame, by: list[str], side: str, sides: tuple[str, ...] = ("r1", "r2", "paired")) -> DataFrame:
+    """One row per ``by`` with a column ``side__name`` for each side and figure; null where there is none."""
+    names = [c for c in stats.columns if c not in (*by, side)]
+    cells = [F.max(F.when(F.col(side) == s, F.col(c).cast("double"))).alias(f"{s}__{c}") for s in sides for c in names]
+    return stats.groupBy(*by).agg(*cells)
+
+
 def index_sets(matches: DataFrame) -> DataFrame:
     """Rows (read_ind, kind): reads matched with both mates to one reference (paired), else with the first or second only."""
     per = matches.groupBy("read_ind").agg(F.bool_or(F.col("in_r1") & F.col("in_r2")).alias("p"), F.bool_or("in_r1").alias("a"), F.bool_or("in_r2").alias("b"))

@@ -110,6 +110,17 @@ def reads_matched_two_off(spark: SparkSession, d: str) -> DataFrame:
     return reads.match_pairs(_pairs(spark, d), _refs(spark, d), 2)
 
 
+def reads_matched_mutated(spark: SparkSession, d: str) -> DataFrame:
+    """References with one base changed, and every other one with two: reads match them with one or two substitutions."""
+    other = lambda at: F.concat(F.substr(F.col("ref_seq"), F.lit(1), F.lit(at - 1)), F.translate(F.substr(F.col("ref_seq"), F.lit(at), F.lit(1)), "ACGT", "CGTA"), F.substr(F.col("ref_seq"), F.lit(at + 1)))
+    refs = _refs(spark, d).withColumn("ref_seq", other(40)).withColumn("ref_seq", F.when(F.col("ref_ind") % 2 == 1, other(90)).otherwise(F.col("ref_seq")))
+    return reads.match_pairs(_pairs(spark, d), refs, 2)
+
+
+def reads_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return reads.read_statistics(_pairs(spark, d)).withColumn("unique_freq", F.round("unique_freq", 6))
+
+
 def reads_match_stats(spark: SparkSession, d: str) -> DataFrame:
     p = _pairs(spark, d)
     stats = reads.match_statistics(reads.match_pairs(p, _refs(spark, d), 0), p)
@@ -179,7 +190,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         seq_revcomp, seq_translated, seq_quality, seq_ends, seq_wrapped, seq_longest_run, seq_types, seq_valid, seq_rulers, seq_duplicates, seq_collapsed, reads_pairs, reads_long, reads_acgt, reads_good_quality, reads_qc,
-        reads_sampled, reads_matched, reads_matched_two_off, reads_match_stats, reads_index_sets, reads_report, pos_exploded, pos_joined, pos_compared, pos_compared_both, pos_labels, pos_summary, pos_cigar, pos_consensus, pos_covered,
+        reads_sampled, reads_matched, reads_matched_two_off, reads_matched_mutated, reads_statistics, reads_match_stats, reads_index_sets, reads_report, pos_exploded, pos_joined, pos_compared, pos_compared_both, pos_labels, pos_summary, pos_cigar, pos_consensus, pos_covered,
         near_parts, near_cdr3,
     )
 }
@@ -204,6 +215,16 @@ j AS (SELECT l.*, ref_seq FROM l LEFT JOIN r USING (read_ind, position))"""
 _LOW = "1 - length(regexp_replace({q}, '[^?-~]', '', 'g')) / length({q})"
 _SAME = "r1_seq IS NOT NULL AND r2_seq IS NOT NULL"
 
+
+def _two_off(refs: str) -> str:
+    return f"""WITH {_PAIRS}, {_REFS}, e AS ({refs}), h AS (SELECT ref_name, ref_ind, t, 1 AS side FROM e UNION ALL SELECT ref_name, ref_ind, {_RC.format(x="t")}, 2 FROM e),
+        u AS (SELECT DISTINCT r1_seq AS q, 1 AS side FROM p WHERE r1_seq <> '' UNION ALL SELECT DISTINCT r2_seq, 2 FROM p WHERE r2_seq <> ''),
+        z AS (SELECT q, u.side, ref_name, ref_ind FROM u JOIN h ON u.side = h.side AND length(q) <= length(t)
+              AND len(list_filter(range(1, length(t) - length(q) + 2), lambda i: hamming(t[i:i + length(q) - 1], q) <= least(2, length(q) - 1))) > 0)
+        SELECT ref_name, ref_ind, read_ind, bool_or(side = 1) AS in_r1, bool_or(side = 2) AS in_r2 FROM (
+          SELECT ref_name, ref_ind, read_ind, side FROM p JOIN z ON side = 1 AND q = r1_seq UNION ALL SELECT ref_name, ref_ind, read_ind, side FROM p JOIN z ON side = 2 AND q = r2_seq) GROUP BY 1, 2, 3"""
+
+
 ORACLES = {
     "seq_revcomp": f"SELECT read_ind, mate, {_RC.format(x='seq')} AS rc, reverse(seq) AS reversed, reverse({_RC.format(x='seq')}) AS complement FROM reads",
     "seq_translated": f"SELECT read_ind, mate, {_AA.format(x='seq')} AS aa FROM reads",
@@ -232,17 +253,16 @@ ORACLES = {
         {' UNION ALL '.join(f"SELECT '{n}' AS step, count(*) FILTER ({x}1) AS r1, count(*) FILTER ({x}2) AS r2, count(*) FILTER ({x}1 AND {x}2) AS both FROM c" for n, x in (('length', 'a'), ('acgt', 'b'), ('quality', 'c')))}""",
     "reads_sampled": "SELECT CAST(round_even(count(DISTINCT read_ind) * 0.1, 0) AS BIGINT) AS n FROM reads",
     "reads_matched": f"WITH {_MATCH} SELECT * FROM m",
-    "reads_matched_two_off": f"""WITH {_PAIRS}, {_REFS}, h AS (SELECT ref_name, ref_ind, ref_seq AS t, 1 AS side FROM f UNION ALL SELECT ref_name, ref_ind, {_RCF}, 2 FROM f),
-        u AS (SELECT DISTINCT r1_seq AS q, 1 AS side FROM p WHERE r1_seq <> '' UNION ALL SELECT DISTINCT r2_seq, 2 FROM p WHERE r2_seq <> ''),
-        z AS (SELECT q, u.side, ref_name, ref_ind FROM u JOIN h ON u.side = h.side AND length(q) <= length(t)
-              AND len(list_filter(range(1, length(t) - length(q) + 2), lambda i: hamming(t[i:i + length(q) - 1], q) <= least(2, length(q) - 1))) > 0)
-        SELECT ref_name, ref_ind, read_ind, bool_or(side = 1) AS in_r1, bool_or(side = 2) AS in_r2 FROM (
-          SELECT ref_name, ref_ind, read_ind, side FROM p JOIN z ON side = 1 AND q = r1_seq UNION ALL SELECT ref_name, ref_ind, read_ind, side FROM p JOIN z ON side = 2 AND q = r2_seq) GROUP BY 1, 2, 3""",
+    "reads_matched_two_off": _two_off("SELECT ref_name, ref_ind, ref_seq AS t FROM f"),
+    "reads_matched_mutated": _two_off("""SELECT ref_name, ref_ind, CASE WHEN ref_ind % 2 = 1 THEN t[1:89] || translate(t[90], 'ACGT', 'CGTA') || t[91:] ELSE t END AS t
+        FROM (SELECT ref_name, ref_ind, ref_seq[1:39] || translate(ref_seq[40], 'ACGT', 'CGTA') || ref_seq[41:] AS t FROM f)"""),
+    "reads_statistics": f"""WITH {_PAIRS}, t AS (SELECT 'r1' AS read, count(*) AS total_n, count(DISTINCT r1_seq) AS unique_n FROM p UNION ALL SELECT 'r2', count(*), count(DISTINCT r2_seq) FROM p
+        UNION ALL SELECT 'paired', count(*), count(DISTINCT r1_seq || '|' || r2_seq) FROM p WHERE {_SAME}) SELECT *, round(unique_n / total_n, 6) AS unique_freq FROM t""",
     "reads_match_stats": f"""WITH {_MATCH}, q AS (SELECT m.*, r1_seq AS a, r2_seq AS b FROM m JOIN p USING (read_ind)),
         t AS (SELECT count(*) AS n, count(DISTINCT r1_seq) AS u1, count(DISTINCT r2_seq) AS u2, count(*) FILTER ({_SAME}) AS nb, count(DISTINCT r1_seq || '|' || r2_seq) AS ub FROM p)
-        SELECT ref_name, 'r1' AS side, count(*) AS matches_n, round(count(*) / any_value(n), 6) AS matches_freq, round(count(DISTINCT a) / any_value(u1), 6) AS unique_freq, count(DISTINCT ref_ind) AS ref_targets_n FROM q, t WHERE in_r1 GROUP BY 1
-        UNION ALL SELECT ref_name, 'r2', count(*), round(count(*) / any_value(n), 6), round(count(DISTINCT b) / any_value(u2), 6), count(DISTINCT ref_ind) FROM q, t WHERE in_r2 GROUP BY 1
-        UNION ALL SELECT ref_name, 'paired', count(*), round(count(*) / any_value(nb), 6), round(count(DISTINCT a || '|' || b) / any_value(ub), 6), count(DISTINCT ref_ind) FROM q, t WHERE in_r1 AND in_r2 GROUP BY 1""",
+        SELECT ref_name, 'r1' AS side, count(*) AS matches_n, round(count(*) / any_value(n), 6) AS matches_freq, count(DISTINCT a) AS unique_n, round(count(DISTINCT a) / any_value(u1), 6) AS unique_freq, count(DISTINCT ref_ind) AS ref_targets_n FROM q, t WHERE in_r1 GROUP BY 1
+        UNION ALL SELECT ref_name, 'r2', count(*), round(count(*) / any_value(n), 6), count(DISTINCT b), round(count(DISTINCT b) / any_value(u2), 6), count(DISTINCT ref_ind) FROM q, t WHERE in_r2 GROUP BY 1
+        UNION ALL SELECT ref_name, 'paired', count(*), round(count(*) / any_value(nb), 6), count(DISTINCT a || '|' || b), round(count(DISTINCT a || '|' || b) / any_value(ub), 6), count(DISTINCT ref_ind) FROM q, t WHERE in_r1 AND in_r2 GROUP BY 1""",
     "reads_index_sets": f"""WITH {_MATCH}, k AS (SELECT read_ind, bool_or(in_r1 AND in_r2) AS b, bool_or(in_r1) AS x, bool_or(in_r2) AS y FROM m GROUP BY 1)
         SELECT read_ind, CASE WHEN b THEN 'paired' WHEN x AND NOT y THEN 'r1_unpaired' WHEN y AND NOT x THEN 'r2_unpaired' ELSE 'apart' END AS kind FROM k""",
     "reads_report": f"""WITH {_MATCH}, k AS (SELECT read_ind, count(*) AS n, count(DISTINCT ref_name) AS n_names, string_agg(DISTINCT ref_name, ',' ORDER BY ref_name) AS names FROM m GROUP BY 1)
