@@ -64,7 +64,7 @@ def match_sequences(reads: DataFrame, refs: DataFrame, most: float, read: str =
 
     References are cut into chunks that overlap by the longest read; a word is a hash with the place it has, and only a candidate's place meets its chunk, so no
     reference is carried along. A chunk is one row, so a chunk that very many candidates fall into is a skewed partition that AQE splits. Which lengths of words and which overlap are needed is asked of the distinct
-    reads, which are written once, when this is called (at most six numbers).
+    reads, which are written once, as the chunks are, when this is called (at most six numbers).
     """
     q = reads.select(F.col(read).alias("_q")).where(F.length("_q") > 0).distinct()
     n, k = F.length("_q"), F.least((F.floor(F.length("_q") * F.lit(most)) if most < 1 else F.lit(int(most))).cast("int"), F.length("_q") - 1)
@@ -81,6 +81,7 @@ def match_sequences(reads: DataFrame, refs: DataFrame, most: float, read: str =
     d = refs.where(F.length(ref) > 0).distinct().withColumn("_ref_id", F.md5(ref))
     texts = d.select(F.col("_ref_id").alias("seqname"), F.col(ref).alias("seq")).distinct()
     chunks = chunk_sequences(texts, size, longest + max(SEEDS)).select(F.col("seqname").alias("_id"), F.col("chunk_no").alias("_chunk"), F.col("seq").alias("_text"))
+    chunks = cut_lineage(chunks)  # read for each length of words and for the candidates
     words = None
     for w in sorted(need["widths"]):
         last = F.least(F.lit(size), F.length("_text") - w + 1)
