@@ -135,6 +135,13 @@ def subsequences(features: DataFrame, sequences: DataFrame, by: list[str], rever
     return joined.select(*by, F.when(F.col("_r"), revcomp("_j")).otherwise(F.col("_j")).alias("seq"))
 
 
+def parse_ranges(ranges: Column) -> Column:
+    """Array of (start, end) of ``a..b,c..d``, a place alone being both; ``<`` and ``>`` for open ends are left out, what is no range is too."""
+    plain = F.regexp_replace(ranges, r"[<>\s]", "")
+    items = F.filter(F.split(plain, ","), lambda x: x.rlike(r"\A\d+(\.\.\d+)?\z"))
+    return F.transform(items, lambda x: F.struct(F.split(x, r"\.\.")[0].cast("bigint").alias("start"), F.element_at(F.split(x, r"\.\."), -1).cast("bigint").alias("end")))
+
+
 def chunk_sequences(sequences: DataFrame, size: int = 1 << 16, overlap: int = 0) -> DataFrame:
     """Rows (seqname, chunk_no, seq): long sequences in pieces of a fixed size, and ``overlap`` letters more of the next, so that none is shuffled whole.
 

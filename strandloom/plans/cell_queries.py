@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.seqexpr import translate_dna
+from strandloom.functions.seqexpr import any_false, translate_dna
 from strandloom.operators import aggregates as G
-from strandloom.operators import align, clonotypes, reads
+from strandloom.operators import align, clonotypes, fuzzy, reads
+from strandloom.operators.annotation import with_attributes
 from strandloom.plans import plotdata
-from strandloom.plans.read_queries import _AA, _MATCH, _pairs, _refs
+from strandloom.plans.read_queries import _AA, _MATCH, _PAIRS, _pairs, _refs
+from strandloom.plans.annotation_queries import _R
 from strandloom.session import table
+from strandloom.sources.files import in_ranges
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
@@ -130,6 +133,75 @@ def plot_references(spark: SparkSession, d: str) -> DataFrame:
     return plotdata.reads_per_reference(reads.match_pairs(_pairs(spark, d), _refs(spark, d), 0), 1, 5)
 
 
+def plot_lines(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines the genes of each sequence need, and how many of them overlap on one line: none."""
+    placed = plot_rows(spark, d)
+    before = F.lag("end").over(Window.partitionBy("seqname", "y").orderBy("start", "end"))
+    return placed.withColumn("_close", (F.col("start") <= before + 10).cast("int")).groupBy("seqname").agg(F.max("y").alias("n_lines"), F.coalesce(F.sum("_close"), F.lit(0)).alias("n_close"))
+
+
+def aligned_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Alignments of the mates checked: they have one length, without gaps they are the sequences, and their columns give their score (null where a sequence holds ``-`` itself)."""
+    p = _pairs(spark, d)
+    done = align.align_columns(p, ["read_ind", "r1_seq", "r2_seq"], "r1_seq", "r2_seq").where("score is not null")
+    plain = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
+    inner = lambda c: F.length(F.col(c)) - F.length(F.ltrim(F.col(c), F.lit("-"))), lambda c: F.length(F.rtrim(F.col(c), F.lit("-")))
+    first = F.greatest(inner[0]("first_aligned"), inner[0]("second_aligned"))
+    last = F.least(inner[1]("first_aligned"), inner[1]("second_aligned"))
+    cut = lambda c: F.split(F.substr(F.col(c), first + 1, F.greatest(last - first, F.lit(0))), "")
+    points = F.aggregate(F.zip_with(cut("first_aligned"), cut("second_aligned"), lambda x, y: F.when(x == "", 0).when(x == y, 1).otherwise(-1)), F.lit(0), lambda a, x: a + x)
+    return done.select(
+        "read_ind", ((plain("first_aligned") == plain("r1_seq")) & (plain("second_aligned") == plain("r2_seq"))).alias("whole"),
+        F.when(~F.col("r1_seq").contains("-") & ~F.col("r2_seq").contains("-"), points == F.col("score")).alias("scored"), (F.length("first_aligned") == F.length("second_aligned")).alias("even")
+    )
+
+
+def consensus_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of consensus rows, their sequences and references, all kept, and the contigs that point to them."""
+    r = table(spark, d, "reads").where("sample is not null and read_ind is not null and seq is not null")
+    side = lambda m, k: r.where(f"mate = '{m}' and read_ind % {k} <> 0").groupBy("sample", F.col("read_ind").alias("consensus_id")).agg(F.max("seq").alias("seq"))
+    notes = r.where("read_ind % 5 <> 0").groupBy("sample", F.col("read_ind").alias("consensus_id")).agg(F.count("*").alias("n"))
+    return clonotypes.consensus_table(notes, side("r1", 3), side("r2", 2))
+
+
+def contigs_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs with their consensus; null ids meet null ids."""
+    r = table(spark, d, "reads").where("read_ind is not null")
+    contigs = r.where("mate = 'r1'").groupBy("sample", F.col("read_ind").alias("contig_id")).agg(F.max("seq").alias("seq")).withColumn("clonotype_id", F.col("contig_id") % 50).withColumn("consensus_id", F.when(F.col("contig_id") % 7 > 0, F.col("contig_id") % 7))
+    consensus = r.withColumn("clonotype_id", F.col("read_ind") % 50).withColumn("consensus_id", F.when(F.col("read_ind") % 7 > 0, F.col("read_ind") % 7)).groupBy("sample", "clonotype_id", "consensus_id").agg(F.max("seq").alias("consensus_seq"))
+    return clonotypes.contigs_with_consensus(contigs, consensus)
+
+
+def names_changed(spark: SparkSession, d: str) -> DataFrame:
+    """How cells move from the names of their pairs to those of one pass."""
+    before = clonotypes.wide_cells(_cells(spark, d)).withColumn("cl_name", F.md5(F.concat_ws("|", F.coalesce("cdr3_TRA", F.lit("NA")), F.coalesce("cdr3_TRB", F.lit("NA")))))
+    return clonotypes.name_changes(before, clonotypes.collapse_clonotypes(before, ["cdr3_TRB", "sample"]))
+
+
+def samples_any_false(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "reads")
+    return r.groupBy("sample", "mate").agg(any_false(F.length("seq") >= 10).alias("all_long"), any_false(F.when(F.col("seq") == "", F.lit(True))).alias("none_known"))
+
+
+def names_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The names of genes nearest to each gene's name with its last letter changed."""
+    names = with_attributes(table(spark, d, "gtf").drop("exon_number"), ["gene_name"]).select("gene_name").where("gene_name is not null").distinct()
+    asked = names.select(F.concat(F.col("gene_name"), F.lit("x")).alias("asked"))
+    return fuzzy.nearest_names(asked, names, "asked", "gene_name")
+
+
+def reads_in_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """First mates as alignments, with a deletion and a skipped stretch, that overlap ranges of their sample."""
+    r = _reads_placed(spark, d)
+    return in_ranges(r, [("a", 100, 140), ("a", 130, 131), ("b", 1, 60)]).select("read_ind", "pos", "genomic_range")
+
+
+def _reads_placed(spark: SparkSession, d: str) -> DataFrame:
+    p = _pairs(spark, d).where("length(r1_seq) >= 10")
+    cigar = F.concat(F.lit("3S4M2D5N"), (F.length("r1_seq") - 7).cast("string"), F.lit("M1H"))
+    return p.select("read_ind", F.when(F.col("read_ind") % 3 == 0, "a").when(F.col("read_ind") % 3 == 1, "b").alias("rname"), (F.col("read_ind") % 200 + 1).cast("int").alias("pos"), cigar.alias("cigar"))
+
+
 def names_picked(spark: SparkSession, d: str) -> DataFrame:
     return clonotypes.pick_names(500, spark, avoid=["Baba"], forbidden="z").agg(F.count("*").alias("n"), F.count_distinct("name").alias("n_distinct"))
 
@@ -139,6 +211,7 @@ QUERIES = {
     for f in (
         cells_wide, cells_plausible, cells_nested, cells_named, clonotype_levels, cells_collapsed_once, sample_pivot, sample_unpivot, sample_collapsed, events_first_mode, events_runs, gtf_ranked, gtf_unique_names,
         reads_constant, samples_coalesced, documents_joined, pairs_full_join, aligned_mates, aligned_local, aligned_positions, printed_mates, plot_rows, plot_references, names_picked,
+        plot_lines, aligned_checked, consensus_joined, contigs_joined, names_changed, samples_any_false, names_nearest, reads_in_ranges,
     )
 }
 
@@ -164,7 +237,26 @@ _NAMED = f"""{_CELLS}, {_START}, {', '.join(_pass_sql(f'n{i}', f'n{i + 1}', s) f
 s AS (SELECT cl_name, bool_or("cdr3_TRA" IS NULL OR "cdr3_TRB" IS NULL) AS o FROM n9 GROUP BY 1 HAVING count(DISTINCT patient) > 1),
 named AS (SELECT sample, patient, replicate, body_fluid, barcode, "cdr3_TRA", "cdr3_TRB", CASE WHEN o THEN md5('patient|' || cl_name || '|' || patient) WHEN NOT o THEN md5('shared|' || cl_name) ELSE cl_name END AS cl_name FROM n9 LEFT JOIN s USING (cl_name))"""
 
+_BY_READ = "FROM reads WHERE sample IS NOT NULL AND read_ind IS NOT NULL AND seq IS NOT NULL"
+_IDS = "read_ind % 50 AS clonotype_id, CASE WHEN read_ind % 7 > 0 THEN read_ind % 7 END AS consensus_id"
+
 ORACLES = {
+    "plot_lines": """WITH g AS (SELECT seqname, "start" AS s, "end" AS e FROM gtf WHERE feature = 'gene' AND seqname IS NOT NULL AND "start" <= "end"),
+        x AS (SELECT seqname, s AS p, 1 AS d FROM g UNION ALL SELECT seqname, e + 11, -1 FROM g), y AS (SELECT seqname, p, sum(d) AS d FROM x GROUP BY 1, 2),
+        z AS (SELECT seqname, sum(d) OVER (PARTITION BY seqname ORDER BY p) AS depth FROM y) SELECT seqname, CAST(max(depth) AS INTEGER) AS n_lines, CAST(0 AS BIGINT) AS n_close FROM z GROUP BY 1""",
+    "aligned_checked": f"WITH {_PAIRS} SELECT read_ind, true AS whole, CASE WHEN NOT contains(r1_seq, '-') AND NOT contains(r2_seq, '-') THEN true END AS scored, true AS even FROM p WHERE r1_seq IS NOT NULL AND r2_seq IS NOT NULL",
+    "consensus_joined": f"""WITH n AS (SELECT sample, read_ind AS consensus_id, count(*) AS n {_BY_READ} AND read_ind % 5 <> 0 GROUP BY 1, 2), a AS (SELECT sample, read_ind AS consensus_id, max(seq) AS consensus_seq {_BY_READ} AND mate = 'r1' AND read_ind % 3 <> 0 GROUP BY 1, 2),
+        b AS (SELECT sample, read_ind AS consensus_id, max(seq) AS reference_seq {_BY_READ} AND mate = 'r2' AND read_ind % 2 <> 0 GROUP BY 1, 2) SELECT * FROM n FULL JOIN a USING (sample, consensus_id) FULL JOIN b USING (sample, consensus_id)""",
+    "contigs_joined": f"""WITH a AS (SELECT sample, read_ind AS contig_id, {_IDS}, max(seq) AS seq FROM reads WHERE read_ind IS NOT NULL AND mate = 'r1' GROUP BY 1, 2, 3, 4),
+        b AS (SELECT sample AS s, read_ind % 50 AS c, CASE WHEN read_ind % 7 > 0 THEN read_ind % 7 END AS i, max(seq) AS consensus_seq FROM reads WHERE read_ind IS NOT NULL GROUP BY 1, 2, 3)
+        SELECT a.*, consensus_seq FROM a LEFT JOIN b ON a.sample IS NOT DISTINCT FROM s AND a.clonotype_id IS NOT DISTINCT FROM c AND a.consensus_id IS NOT DISTINCT FROM i""",
+    "names_changed": f"""WITH {_CELLS}, a0 AS (SELECT *, md5(coalesce("cdr3_TRA", 'NA') || '|' || coalesce("cdr3_TRB", 'NA')) AS cl_name FROM w), {_pass_sql('a0', 'a1', ['cdr3_TRB', 'sample'])}
+        SELECT a0.cl_name AS old_name, a1.cl_name AS new_name, count(*) AS n_cells FROM a0 JOIN a1 USING (sample, barcode) GROUP BY 1, 2""",
+    "samples_any_false": "SELECT sample, mate, coalesce(bool_and(length(seq) >= 10), true) AS all_long, true AS none_known FROM reads GROUP BY 1, 2",
+    "names_nearest": f"""WITH {_R}, n AS (SELECT DISTINCT gene_name, regexp_extract(lower(gene_name), '^[a-z]+[0-9]+', 0) AS p FROM r WHERE gene_name IS NOT NULL), q AS (SELECT gene_name || 'x' AS asked, regexp_extract(lower(gene_name || 'x'), '^[a-z]+[0-9]+', 0) AS p FROM n),
+        s AS (SELECT asked, gene_name, CAST(levenshtein(lower(asked), lower(gene_name)) AS INTEGER) AS lv, min(levenshtein(lower(asked), lower(gene_name))) OVER (PARTITION BY asked) AS least FROM q JOIN n USING (p)) SELECT asked, gene_name, lv FROM s WHERE lv = least""",
+    "reads_in_ranges": f"""WITH {_PAIRS}, a AS (SELECT read_ind, CASE read_ind % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS rname, CAST(read_ind % 200 + 1 AS INTEGER) AS pos, read_ind % 200 + 1 + 4 + 2 + 5 + length(r1_seq) - 7 - 1 AS e FROM p WHERE length(r1_seq) >= 10)
+        SELECT read_ind, pos, g AS genomic_range FROM a JOIN (VALUES ('a', 100, 140, 'a:100-140'), ('a', 130, 131, 'a:130-131'), ('b', 1, 60, 'b:1-60')) v(n, f, l, g) ON rname = n AND pos <= l AND e >= f""",
     "cells_wide": f"WITH {_CELLS} SELECT * FROM w",
     "cells_plausible": f"""WITH {_CELLS} SELECT * FROM w WHERE coalesce(len(string_split("cdr3_TRB", ',')), 0) <= 1 AND coalesce(len(string_split("cdr3_TRA", ',')), 0) <= 2""",
     "cells_nested": f"WITH {_CELLS} SELECT sample, barcode, count(*) AS n, arg_min(cdr3, chain || cdr3) AS first_cdr3 FROM c GROUP BY 1, 2",

@@ -9,8 +9,8 @@ from strandloom.functions.positions import rotate_sequence
 from strandloom.functions.seqexpr import aa_property, parse_region, random_dna
 from strandloom.operators import transcripts
 from strandloom.operators.annotation import with_attributes
-from strandloom.operators.positions import chunk_sequences, regions_from_chunks, subsequences
-from strandloom.sources.fasta import fasta_text
+from strandloom.operators.positions import chunk_sequences, parse_ranges, regions_from_chunks, subsequences
+from strandloom.sources.fasta import fasta_text, parse_records
 from strandloom.sources.files import flatten_json
 from strandloom.sources.gtf import gtf_line, harmonised_name
 from strandloom.session import table
@@ -58,6 +58,30 @@ def circle_rotated(spark: SparkSession, d: str) -> DataFrame:
     return r.select("read_ind", "mate", rotate_sequence(F.col("seq"), 8).alias("seq"))
 
 
+def fasta_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Reads written as FASTA records and read back."""
+    text = fasta_lines(spark, d).select(F.col("read_ind").alias("ord"), F.lit("reads").alias("file"), F.col("text").alias("value"))
+    return parse_records(text).select("name", "seqname", "seq")
+
+
+def feature_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Places of features as text, with open ends, cut from each document and put together."""
+    docs = _docs(spark, d)
+    ranges = F.concat(F.lit("<5..20, 41..60,"), F.floor(F.length("seq") / 2 + 61).cast("string"), F.lit("..>"), (F.length("seq") + 60).cast("string"))
+    parts = docs.select("seqname", F.inline(parse_ranges(ranges)))
+    return subsequences(parts.withColumn("doc_id", F.col("seqname").cast("bigint")), docs, ["doc_id"]).select("doc_id", F.md5("seq").alias("seq_md5"))
+
+
+def transcripts_built(spark: SparkSession, d: str) -> DataFrame:
+    """First mates as chromosomes with a transcript of two exons each, every other one on the minus strand."""
+    genome = table(spark, d, "reads").where("mate = 'r1' and read_ind is not null and length(seq) >= 1").groupBy("read_ind").agg(F.max("seq").alias("seq"))
+    n = F.length("seq").cast("bigint")
+    parts = [F.struct(F.lit(f).alias("feature"), a.alias("start"), b.alias("end")) for f, a, b in (
+        ("exon", F.lit(1).cast("bigint"), F.floor(n / 3) + 1), ("exon", F.floor(n / 2) + 1, n), ("CDS", F.lit(1).cast("bigint"), F.floor(n / 4) + 1))]
+    rows = genome.select(F.col("read_ind").cast("string").alias("seqname"), F.col("read_ind").cast("string").alias("transcript_id"), F.when(F.col("read_ind") % 2 == 0, "+").otherwise("-").alias("strand"), F.inline(F.array(*parts)))
+    return transcripts.transcript_sequences(rows, genome.select(F.col("read_ind").cast("string").alias("seqname"), "seq"))
+
+
 def json_leaves(spark: SparkSession, d: str) -> DataFrame:
     return flatten_json(table(spark, d, "events"), ["event_id"], "props")
 
@@ -75,13 +99,20 @@ def transcript_places(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.transcript_positions(with_attributes(table(spark, d, "gtf").drop("exon_number"), ["transcript_id"]))
 
 
-QUERIES = {f.__name__: f for f in (fasta_lines, gtf_lines, seqname_forms, region_parsed, region_from_chunks, region_joined, circle_rotated, json_leaves, aa_classes, random_sequences, transcript_places)}
+QUERIES = {f.__name__: f for f in (fasta_lines, gtf_lines, seqname_forms, region_parsed, region_from_chunks, region_joined, circle_rotated, fasta_parsed, feature_sequences, transcripts_built, json_leaves, aa_classes, random_sequences, transcript_places)}
 
 _CELLS = ", ".join(f"""coalesce(CAST("{c}" AS VARCHAR), '.')""" for c in ("seqname", "source", "feature", "start", "end", "score", "strand", "frame"))
 _FIRST = "CASE WHEN regexp_replace(seqname, '^chr', '') = 'M' THEN 'MT' ELSE regexp_replace(seqname, '^chr', '') END"
 _ITEMS = "list_filter(string_split(regexp_replace(trim(attribute), ';$', ''), '; '), lambda s: starts_with(trim(s), 'transcript_id '))"
 
+_RC = "reverse(translate(regexp_replace(upper({x}), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA'))"
+
 ORACLES = {
+    "fasta_parsed": "SELECT concat_ws('_', read_ind, mate) AS name, concat_ws('_', read_ind, mate) AS seqname, seq FROM reads WHERE seq IS NOT NULL",
+    "feature_sequences": "SELECT doc_id, md5(substr(text, 5, 16) || substr(text, 41, 20) || substr(text, length(text) // 2 + 61)) AS seq_md5 FROM documents WHERE length(text) >= 1",
+    "transcripts_built": f"""WITH g AS (SELECT read_ind, max(seq) AS s, length(max(seq)) AS n FROM reads WHERE mate = 'r1' AND read_ind IS NOT NULL AND length(seq) >= 1 GROUP BY 1),
+        t AS (SELECT read_ind, 'pre_mRNA' AS kind, s FROM g UNION ALL SELECT read_ind, 'mRNA', CASE WHEN n // 2 + 1 = 1 AND n = 1 THEN s ELSE substr(s, 1, n // 3 + 1) || substr(s, n // 2 + 1) END FROM g UNION ALL SELECT read_ind, 'CDS', substr(s, 1, n // 4 + 1) FROM g)
+        SELECT CAST(read_ind AS VARCHAR) AS transcript_id, kind, CASE WHEN read_ind % 2 = 0 THEN s ELSE {_RC.format(x="s")} END AS seq FROM t""",
     "fasta_lines": "SELECT read_ind, mate, '>' || concat_ws('_', read_ind, mate) || chr(10) || rtrim(regexp_replace(seq, '(.{60})', '\\1' || chr(10), 'g'), chr(10)) AS text FROM reads WHERE seq <> '' UNION ALL SELECT read_ind, mate, '>' || concat_ws('_', read_ind, mate) || chr(10) FROM reads WHERE seq = ''",
     "gtf_lines": f"SELECT line_no, concat_ws(chr(9), {_CELLS}, coalesce(attribute, '')) AS text FROM gtf",
     "seqname_forms": f"SELECT DISTINCT seqname, CASE WHEN s = 'MT' THEN 'chrM' WHEN regexp_full_match(s, '[0-9]+|[XY]') THEN 'chr' || s ELSE s END || ' ' || s AS name FROM (SELECT seqname, {_FIRST} AS s FROM gtf WHERE seqname IS NOT NULL)",

@@ -20,7 +20,11 @@ def read_fasta(spark: SparkSession, path: str | list[str], comment: str | None =
     Files are split at records, so plain files are read in parallel and .gz files whole. Lines that begin with ``comment`` are left out. A ``headerless`` file is one
     record named like the file. ``make_names`` turns other signs than letters, digits, dot and underscore in the first word to dots. An empty file has no rows.
     """
-    rows = _records(spark, path)
+    return parse_records(_records(spark, path), comment, seqnames, headerless, make_names)
+
+
+def parse_records(rows: DataFrame, comment: str | None = None, seqnames: list[str] | None = None, headerless: bool = False, make_names: bool = False) -> DataFrame:
+    """The records of rows (ord, file, value), each the text of one record: see ``read_fasta``."""
     if headerless:
         stem = F.regexp_extract("file", r"([^/]+?)(\.[A-Za-z]+)*$", 1)
         rows = rows.select("ord", "file", stem.alias("name"), F.col("value").alias("rest"))
