@@ -48,18 +48,26 @@ def collapse_duplicates(df: DataFrame, seq: str, order: str) -> DataFrame:
     return numbered.select(F.concat(F.lit("unique seq "), F.col("i"), F.lit(" ("), F.col("n"), F.lit(")")).alias("name"), "seq", "n")
 
 
+def _block_of(value: Column, bounds: list[int], first: int = 0) -> Column:
+    """How many of the sorted bounds are at most the value, found by halving."""
+    if not bounds:
+        return F.lit(first).cast("bigint")
+    half = len(bounds) // 2
+    return F.when(value < bounds[half], _block_of(value, bounds[:half], first)).otherwise(_block_of(value, bounds[half + 1 :], first + half + 1))
+
+
 def with_rank(df: DataFrame, order: str, out: str, by: list[str] | None = None, parts: int = 256) -> DataFrame:
     """The rows with their place 1..n by the column ``order`` (bigint), of all rows or of each group, without sorting a group in one task.
 
-    Rows are put into blocks of the order's value range; places are counted inside a block, and the sizes of the blocks before it, at most
-    ``parts`` + 1 numbers a group, are added. Rows with a null order have no place; rows of equal order are placed in any order; keys may be null.
+    Rows are put into at most ``parts`` blocks between quantiles of the order, so that outliers don't fill one block; places are counted inside a block, and the sizes of
+    the blocks before it, at most ``parts`` numbers a group, are added. Rows with a null order have no place; rows of equal order are placed in any order; keys
+    may be null. The quantiles (approximate; they only balance the work) are computed when this is called.
     """
     by = by or []
-    bounds = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    if bounds["lo"] is None:
+    found = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    if found is None:
         return df.withColumn(out, F.lit(None).cast("bigint"))
-    width = max(1, (bounds["hi"] - bounds["lo"]) // parts + 1)
-    rows = df.withColumn("_block", F.floor((F.col(order) - F.lit(bounds["lo"])) / F.lit(width)).cast("bigint"))
+    rows = df.withColumn("_block", F.when(F.col(order).isNotNull(), _block_of(F.col(order), sorted(set(found)))))
     sizes = rows.where("_block is not null").groupBy(*by, "_block").agg(F.count("*").alias("_size"))
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_block").alias("_b"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))

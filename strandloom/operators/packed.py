@@ -54,16 +54,40 @@ def _at(places: np.ndarray, fromwhere: np.ndarray, none: np.ndarray) -> np.ndarr
     return np.minimum(found, none)
 
 
+#: Bytes of a row that are scanned in a piece; the pieces of all rows go at a time.
+PIECE = 1024
+
+
 def _exact_quoted(kinds: np.ndarray, offsets: np.ndarray, rows: np.ndarray, quoted: np.ndarray) -> None:
-    """Mark the bytes inside quotes of some rows by the transition table, byte after byte, all rows at a time."""
+    """Mark the bytes inside quotes of some rows by the transition table.
+
+    Rows are cut into pieces of ``PIECE`` bytes. Of each piece it is found at once in which state it ends for every state it may begin in; these functions, one after another,
+    give the states the pieces begin in, and with these the bytes are marked. So a row takes no more steps than two pieces, however long it is.
+    """
     length = offsets[rows + 1] - offsets[rows]
-    order = np.argsort(-length, kind="stable")
-    at, left = offsets[rows][order], length[order]
-    state = np.full(len(rows), _START, np.uint8)
-    live = len(rows)
-    for step in range(int(left[0]) if live else 0):
-        while live and left[live - 1] <= step:
-            live -= 1
+    count = np.maximum(1, -(-length // PIECE))
+    of = np.repeat(np.arange(len(rows)), count)
+    nr = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    order = np.argsort(-np.minimum(length[of] - nr * PIECE, PIECE), kind="stable")
+    of, nr = of[order], nr[order]
+    at, left = offsets[rows][of] + nr * PIECE, np.minimum(length[of] - nr * PIECE, PIECE)
+    live_at = np.searchsorted(-left, -np.arange(1, PIECE + 1), "right")  # pieces that are longer than a step
+
+    begin = np.full(len(of), _START, np.uint8)
+    several = np.flatnonzero(count[of] > 1)
+    if len(several):
+        ends = np.tile(np.arange(len(_NEXT), dtype=np.uint8), (len(of), 1))
+        for step in range(int(left[0])):
+            live = int(live_at[step])
+            ends[:live] = _NEXT[ends[:live], kinds[at[:live] + step][:, None]]
+        state, row = _START, -1
+        for i in several[np.lexsort((nr[several], of[several]))].tolist():
+            state = _START if of[i] != row else state
+            row, begin[i] = of[i], state
+            state = ends[i, state]
+    state = begin
+    for step in range(int(left[0]) if len(left) else 0):
+        live = int(live_at[step])
         here = at[:live] + step
         now = state[:live]
         quoted[here] = (now == _IN_DQ) | (now == _IN_SQ)

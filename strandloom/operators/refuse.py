@@ -79,7 +79,8 @@ def refused_lines(df: DataFrame, row_id: str, line: str, columns: list[str], rul
     # rule table: place of the column, rank of the rule, whether it is the column's first rule
     placed = [(columns.index(r.column), i + 3) for i, r in enumerate(rules) if not r.test.startswith("=")]
     table = [(c, rank, rank == min(x for d, x in placed if d == c)) for c, rank in placed]
-    rule_table = spark.createDataFrame(table, "rc int, rank int, leads boolean").coalesce(1)
+    entries = [F.struct(F.lit(c).alias("rc"), F.lit(rank).alias("rank"), F.lit(leads).alias("leads")) for c, rank, leads in table]
+    rule_table = spark.range(0, 1, 1, 1).select(F.inline(F.array(*entries)))
     checked = cells.join(F.broadcast(rule_table), (F.col("c") == F.col("rc")) & F.col("shape").isNull(), "left")
     fails = F.lit(False)
     for i, r in enumerate(rules):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +39,8 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests in local mode) a
-    temporary folder is made.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, which only local mode may leave it, a
+    temporary folder is made, that goes when Python ends.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
@@ -46,7 +48,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named and not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandloom-"))
+    if not named:
+        named = tempfile.mkdtemp(prefix="strandloom-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -358,6 +358,8 @@ def test_general_helpers(spark):
     assert len(set(names)) == 4 and names[0] == "x" and names[2] == "x.1"
     s = G.exact_sample(spark.range(103).withColumnRenamed("id", "k"), 0.1, "k")
     assert s.count() == 10 and G.exact_sample(spark.range(5).withColumnRenamed("id", "k"), 50, "k").count() == 5
+    far = spark.range(500).selectExpr("if(id = 7, -(1L << 60), id * id) as o")
+    assert sorted((r.o, r.k) for r in G.with_rank(far, "o", "k", parts=16).collect()) == [(o, i) for i, o in enumerate(sorted([-(1 << 60), *[i * i for i in range(500) if i != 7]]), 1)]
     ranked = G.with_rank(spark.createDataFrame([(None, "a"), (5, "a"), (2, "a"), (9, None)], "o long, g string"), "o", "r", ["g"], parts=2).collect()
     assert sorted((r.o, r.g, r.r) for r in ranked if r.o is not None) == sorted([(2, "a", 1), (5, "a", 2), (9, None, 1)], key=str) or {(r.o, r.r) for r in ranked if r.o} == {(2, 1), (5, 2), (9, 1)}
 

@@ -123,6 +123,13 @@ def test_items_match_a_scanner(texts):
         assert [list(zip(k, v)) for k, v in zip(keys.to_pylist(), values.to_pylist())] == [brute_items(t, lone) for t in texts]
 
 
+def test_broken_rows_of_any_length_take_few_steps():
+    rng = random.Random(5)
+    texts = ["k \"open; " + "".join(rng.choice("ab =;,|\t\"'") for _ in range(n)) for n in (10, 1015, 1016, 1017, 5000, 70_000)]
+    keys, values = split_items(pa.array(texts, pa.string()), None)
+    assert [list(zip(k, v)) for k, v in zip(keys.to_pylist(), values.to_pylist())] == [brute_items(t, None) for t in texts]
+
+
 def test_packed_fields_edges(spark):
     long = 'note "' + "x;" * 60_000 + '"; k v'
     rows = [(1, 'a "x; y" | b=2,,c', "1;\"2\""), (1, 'a "x; y" | b=2,,c', "1;\"2\""), (2, " . ", None), (None, 'q "say ""hi"""', "."), (3, long, ""), (4, "", " ")]
