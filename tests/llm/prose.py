@@ -21,7 +21,7 @@ LANGUAGES = {
     "armenian": 'Այս առավոտ ուժեղ անձրև եկավ, և գնացքը շատ ուշացավ։ Մենք կայարանում սպասեցինք գրեթե երկու ժամ՝ պատուհանից նայելով անձրևին։ Հետո եկավ ավտոբուսը, բայց այն արդեն լիքն էր։ Տուն հասանք միայն երեկոյան։',
 }
 
-#: Not looked at before the figures stood.
+#: Looked at only while the last figures were dropped.
 OTHER_LANGUAGES = {
     "hungarian": 'Ma reggel erősen esett az eső, és a vonat sokat késett. Majdnem két órát vártunk az állomáson, és az ablakból néztük az esőt. Később jött egy busz, de az már tele volt. Csak este értünk haza, fáradtan, de jókedvűen.',
     "welsh": "Roedd hi'n bwrw glaw yn drwm y bore yma ac roedd y trên yn hwyr iawn. Buom yn aros yn yr orsaf am bron i ddwy awr, yn gwylio'r glaw drwy'r ffenestr. Wedyn daeth bws, ond roedd yn llawn yn barod. Cyrhaeddon ni adref gyda'r nos.",
