@@ -98,8 +98,19 @@ def reads_qc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reads_sampled(spark: SparkSession, d: str) -> DataFrame:
-    """An exact tenth of the read pairs; its size is checked."""
-    return G.exact_sample(_pairs(spark, d), 0.1, "read_ind").agg(F.count("*").alias("n"))
+    """An exact tenth of the read pairs: how many, how many different reads, and how many are pairs of the table with all they hold."""
+    pairs = _pairs(spark, d)
+    found = G.exact_sample(pairs, 0.1, "read_ind")
+    known = found.alias("f").join(pairs.select([F.col(c).alias(f"_{c}") for c in pairs.columns]), F.col("read_ind") == F.col("_read_ind"))
+    same = F.lit(True)
+    for c in pairs.columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return known.agg(F.count("*").alias("n"), F.count_distinct("read_ind").alias("n_reads"), F.count_if(same).alias("n_known"))
+
+
+def reads_sample_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The sampled pairs themselves."""
+    return G.exact_sample(_pairs(spark, d), 0.1, "read_ind")
 
 
 def reads_matched(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         seq_revcomp, seq_translated, seq_quality, seq_ends, seq_wrapped, seq_longest_run, seq_types, seq_valid, seq_rulers, seq_duplicates, seq_collapsed, reads_pairs, reads_long, reads_acgt, reads_good_quality, reads_qc,
-        reads_sampled, reads_matched, reads_matched_two_off, reads_matched_mutated, reads_statistics, reads_match_stats, reads_index_sets, reads_report, pos_exploded, pos_joined, pos_compared, pos_compared_both, pos_labels, pos_summary, pos_cigar, pos_consensus, pos_covered,
+        reads_sampled, reads_sample_rows, reads_matched, reads_matched_two_off, reads_matched_mutated, reads_statistics, reads_match_stats, reads_index_sets, reads_report, pos_exploded, pos_joined, pos_compared, pos_compared_both, pos_labels, pos_summary, pos_cigar, pos_consensus, pos_covered,
         near_parts, near_cdr3,
     )
 }
@@ -251,7 +262,7 @@ ORACLES = {
     "reads_qc": f"""WITH {_PAIRS}, c AS (SELECT length(r1_seq) >= 60 AS a1, length(r2_seq) >= 60 AS a2, NOT regexp_matches(r1_seq, '[^ACGT]') AS b1, NOT regexp_matches(r2_seq, '[^ACGT]') AS b2,
         CASE WHEN r1_qual <> '' THEN {_LOW.format(q='r1_qual')} <= 0.1 END AS c1, CASE WHEN r2_qual <> '' THEN {_LOW.format(q='r2_qual')} <= 0.1 END AS c2 FROM p)
         {' UNION ALL '.join(f"SELECT '{n}' AS step, count(*) FILTER ({x}1) AS r1, count(*) FILTER ({x}2) AS r2, count(*) FILTER ({x}1 AND {x}2) AS both FROM c" for n, x in (('length', 'a'), ('acgt', 'b'), ('quality', 'c')))}""",
-    "reads_sampled": "SELECT CAST(round_even(count(DISTINCT read_ind) * 0.1, 0) AS BIGINT) AS n FROM reads",
+    "reads_sampled": "SELECT n, n AS n_reads, n AS n_known FROM (SELECT CAST(round_even(count(DISTINCT read_ind) * 0.1, 0) AS BIGINT) AS n FROM reads)",
     "reads_matched": f"WITH {_MATCH} SELECT * FROM m",
     "reads_matched_two_off": _two_off("SELECT ref_name, ref_ind, ref_seq AS t FROM f"),
     "reads_matched_mutated": _two_off("""SELECT ref_name, ref_ind, CASE WHEN ref_ind % 2 = 1 THEN t[1:89] || translate(t[90], 'ACGT', 'CGTA') || t[91:] ELSE t END AS t

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.positions import rotate_sequence
@@ -92,7 +92,10 @@ def aa_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def random_sequences(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(200).select("id", F.length(random_dna(30, 7)).alias("n"))
+    """Random sequences: their lengths, whether they hold other letters than bases, and whether another has the same letters."""
+    made = spark.range(200).select("id", random_dna(30, 7).alias("seq"))
+    again = F.count("*").over(Window.partitionBy("seq")) > 1
+    return made.select("id", F.length("seq").alias("n"), F.col("seq").rlike("[^ACGT]").alias("other"), again.alias("again"))
 
 
 def transcript_places(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +127,7 @@ ORACLES = {
     "aa_classes": """SELECT letter, CASE WHEN letter IN ('S', 'T', 'N', 'Q', 'C') THEN 'polar' WHEN letter IN ('K', 'R', 'H') THEN 'basic pos charge' WHEN letter = '*' THEN 'stop'
         WHEN letter IN ('A', 'V', 'L', 'I', 'M', 'G', 'P') THEN 'non polar' WHEN letter IN ('D', 'E') THEN 'acidic neg charge' WHEN letter IN ('W', 'F', 'Y') THEN 'non polar aromtic' END AS property
         FROM (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWYX*', '')) AS letter)""",
-    "random_sequences": "SELECT CAST(unnest(range(0, 200)) AS BIGINT) AS id, 30 AS n",
+    "random_sequences": "SELECT CAST(unnest(range(0, 200)) AS BIGINT) AS id, 30 AS n, false AS other, false AS again",
     "transcript_places": f"""WITH r AS (SELECT *, CASE WHEN len({_ITEMS}) > 0 THEN array_to_string(list_transform({_ITEMS}, lambda s: replace(substr(trim(s), 15), '"', '')), '__') END AS t FROM gtf WHERE feature = 'exon'),
         e AS (SELECT DISTINCT t AS transcript_id, seqname, strand, "start" AS s, "end" AS e FROM r WHERE t IS NOT NULL AND "start" IS NOT NULL AND "end" IS NOT NULL AND "start" <= "end"),
         c AS (SELECT *, row_number() OVER w AS exon_no, CAST(sum(e - s + 1) OVER w AS BIGINT) AS last FROM e WINDOW w AS (PARTITION BY transcript_id, seqname, strand ORDER BY CASE WHEN strand = '-' THEN -e ELSE s END, s, e ROWS UNBOUNDED PRECEDING))
