@@ -43,13 +43,13 @@ def with_attributes(gtf: DataFrame, keys: list[str], rename: dict[str, str] | No
     ``rename`` gives a key a further name (or, with ``replace``, another one); a key that has the new name already gives way to it.
     """
     rename = rename or {}
-    parsed = parse_attributes(F.col("attribute"))
     source = {k: k for k in keys}
     for old, new in rename.items():
         source[new] = old
         if replace:
             source.pop(old, None)
-    return gtf.select("line_no", *CORE, *[attribute_of(parsed, old).alias(new) for new, old in source.items()])
+    parsed = gtf.select("line_no", *CORE, parse_attributes(F.col("attribute")).alias("_parsed"))  # a column of its own: parsed once for all keys
+    return parsed.select("line_no", *CORE, *[attribute_of(F.col("_parsed"), old).alias(new) for new, old in source.items()])
 
 
 def filter_rows(gtf: DataFrame, seqnames: list[str] | None = None, features: list[str] | None = None, gene_names: list[str] | None = None) -> DataFrame:

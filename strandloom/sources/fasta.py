@@ -58,8 +58,8 @@ def fasta_text(name: Column, seq: Column, width: int = 60) -> Column:
     return F.concat(F.lit(">"), name, F.lit("\n"), wrap(seq, width))
 
 
-def write_fasta(df: DataFrame, path: str, width: int = 60, order: str | None = None, gzip: bool = False, one_file: bool = True) -> None:
-    """Records (name, seq) as FASTA; null names become ``seq_<n>``, null sequences are empty. One file is for results of a size a single task can write."""
+def write_fasta(df: DataFrame, path: str, width: int = 60, order: str | None = None, gzip: bool = False, one_file: bool = False) -> None:
+    """Records (name, seq) as FASTA; null names become ``seq_<n>``, null sequences are empty. Parts follow each other in the order; ``one_file`` is for results of a size a single task can write."""
     rows = df.orderBy(order) if order else df
     rows = rows.withColumn("name", F.coalesce("name", F.concat(F.lit("seq_"), (F.monotonically_increasing_id() + 1).cast("string"))))
     text = rows.select(fasta_text(F.col("name"), F.coalesce("seq", F.lit("")), width).alias("value"))

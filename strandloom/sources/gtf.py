@@ -25,8 +25,8 @@ def gtf_line(attribute: Column | str = "attribute") -> Column:
     return F.concat_ws("\t", *cells, F.coalesce(F.col(attribute) if isinstance(attribute, str) else attribute, F.lit("")))
 
 
-def write_gtf(df: DataFrame, path: str, header: list[str] | None = None, keys: list[str] | None = None, unique: bool = True, gzip: bool = False) -> None:
-    """GTF text in the order of line_no, below header lines. With ``keys`` the attribute is made of those columns, names and ids that stand for several things first made unique."""
+def write_gtf(df: DataFrame, path: str, header: list[str] | None = None, keys: list[str] | None = None, unique: bool = True, gzip: bool = False, one_file: bool = False) -> None:
+    """GTF text in the order of line_no, below header lines. With ``keys`` the attribute is made of those columns, names and ids that stand for several things first made unique. ``one_file`` is for results of a size a single task can write."""
     rows = df
     if keys and unique and {"gene_id", "gene_name"} <= set(df.columns):
         rows = fix_duplicates(rows)
@@ -35,7 +35,8 @@ def write_gtf(df: DataFrame, path: str, header: list[str] | None = None, keys: l
     if header:
         head = df.sparkSession.createDataFrame([(i - len(header) - 1, f"#{h}") for i, h in enumerate(header)], "o bigint, value string")
         text = head.unionByName(text)
-    text.orderBy("o").select("value").coalesce(1).write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
+    lines = text.orderBy("o").select("value")  # parts follow each other, the header stands in the first
+    (lines.coalesce(1) if one_file else lines).write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
 
 
 def store_gtf(rows: DataFrame, folder: str) -> None:
