@@ -11,11 +11,11 @@ from strandloom.operators.spread import spread_join
 from strandloom.session import cut_lineage
 
 
-def pair_reads(reads: DataFrame) -> DataFrame:
-    """One row per read_ind: the first delivered row of each mate."""
-    cols = [F.min_by(F.struct("seq", "qual"), F.when(F.col("mate") == m, F.struct("arrived_at", "seq", "qual"))).alias(m) for m in ("r1", "r2")]
+def pair_reads(reads: DataFrame, columns: tuple[str, ...] = ("seq", "qual")) -> DataFrame:
+    """One row per read_ind: the first delivered row of each mate, of equals that with the least seq and qual. With ``columns`` seq alone, qualities are neither read nor shuffled; the sequences are the same."""
+    cols = [F.min_by(F.struct(*columns), F.when(F.col("mate") == m, F.struct("arrived_at", *columns))).alias(m) for m in ("r1", "r2")]
     wide = reads.where("read_ind is not null").groupBy("read_ind").agg(*cols)
-    return wide.select("read_ind", *[F.col(f"{m}.{c}").alias(f"{m}_{c}") for m in ("r1", "r2") for c in ("seq", "qual")])
+    return wide.select("read_ind", *[F.col(f"{m}.{c}").alias(f"{m}_{c}") for m in ("r1", "r2") for c in columns])
 
 
 def filter_pairs(pairs: DataFrame, keep: dict[str, Column], paired: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ from strandloom.operators import aggregates as G
 from strandloom.operators import align, clonotypes, fuzzy, reads
 from strandloom.operators.annotation import with_attributes
 from strandloom.plans import plotdata
-from strandloom.plans.read_queries import _AA, _MATCH, _PAIRS, _pairs, _refs
+from strandloom.plans.read_queries import _AA, _MATCH, _PAIRS, _pairs, _refs, _seq_pairs
 from strandloom.plans.annotation_queries import _R
 from strandloom.session import table
 from strandloom.sources.files import in_ranges
@@ -114,9 +114,8 @@ def aligned_local(spark: SparkSession, d: str) -> DataFrame:
 
 def aligned_positions(spark: SparkSession, d: str) -> DataFrame:
     """All first mates of a read in the frame of the second."""
-    p = _pairs(spark, d)
-    done = align.align_columns(p, ["read_ind"], "r1_seq", "r2_seq").withColumn("name", F.lit("r1"))
-    return align.multi_alignment(done, p.select("read_ind", F.col("r2_seq").alias("subject_seq")), ["read_ind"], "name")
+    done = align.align_columns(_seq_pairs(spark, d), ["read_ind", "r2_seq"], "r1_seq", "r2_seq").withColumn("name", F.lit("r1"))
+    return align.multi_alignment(done, "r2_seq", ["read_ind"], "name")
 
 
 def printed_mates(spark: SparkSession, d: str) -> DataFrame:

@@ -19,6 +19,11 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return reads.pair_reads(_reads(spark, d))
 
 
+def _seq_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs without their qualities."""
+    return reads.pair_reads(_reads(spark, d), ("seq",))
+
+
 def _refs(spark: SparkSession, d: str) -> DataFrame:
     """The longest reads as reference sequences."""
     r = _reads(spark, d).where("length(seq) >= 150 and read_ind is not null").groupBy("seq").agg(F.min("read_ind").alias("ref_ind"))
