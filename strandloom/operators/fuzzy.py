@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.spread import spread_join
+from strandloom.session import cut_lineage
+
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i of a string of that length, cut into ``parts``; longer segments come last."""
@@ -64,14 +66,51 @@ def edit_join(left: DataFrame, right: DataFrame, left_str: str, right_str: str,
     return found.distinct()
 
 
+def _one_edit(left: DataFrame, right: DataFrame, by: list[str], left_str: str, right_str: str) -> DataFrame:
+    """Rows (*by, left_str, right_str, lv): pairs with equal ``by`` and an edit distance of at most 1. Such strings are equal, or become so when either loses one letter at most."""
+
+    def keyed(df: DataFrame, c: str) -> DataFrame:
+        s = F.col(c)
+        less = F.transform(F.sequence(F.lit(0), F.length(s)), lambda i: F.when(i == 0, s).otherwise(F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1))))
+        return df.select(*by, c, F.explode(F.array_distinct(F.transform(less, lambda x: F.xxhash64(*[F.col(b) for b in by], x)))).alias("_key"))
+
+    near = spread_join(keyed(left, left_str), keyed(right, right_str).select(*[F.col(b).alias(f"_r{b}") for b in by], right_str, "_key"), ["_key"])
+    for b in by:
+        near = near.where(F.col(b) == F.col(f"_r{b}"))
+    return near.withColumn("lv", F.levenshtein(left_str, right_str, 1)).where("lv >= 0").select(*by, left_str, right_str, "lv").distinct()
+
+
 def nearest_names(queries: DataFrame, names: DataFrame, query: str, name: str) -> DataFrame:
-    """Rows (query, name, lv): of the names that begin with the same letters and number, all at the least edit distance."""
+    """Rows (query, name, lv): of the names that begin with the same letters and number, all at the least edit distance.
+
+    What follows that beginning is compared, in lower case, and each distinct rest once. Names at a distance of at most 1 are met by the letters that are left when one is dropped, for what has none of
+    these a distance of at most 3 is tried by segments (``edit_join``), and only queries without a name so near are compared with all names of their beginning. Each step is
+    written once when this is called, and the next is left out when no query remains.
+    """
     prefix = lambda c: F.regexp_extract(F.lower(F.col(c)), "^[a-z]+[0-9]+", 0)
-    q = queries.select(query).where(F.col(query).isNotNull()).distinct().withColumn("_p", prefix(query))
-    n = names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_np", prefix(name))
-    scored = q.join(n, F.col("_p") == F.col("_np")).withColumn("lv", F.levenshtein(F.lower(F.col(query)), F.lower(F.col(name))))
-    best = scored.groupBy(query).agg(F.min("lv").alias("_least"))
-    return scored.join(best, query).where("lv = _least").select(query, name, "lv")
+    rest = lambda c, p: F.substr(F.lower(F.col(c)), F.length(p) + 1)
+    q = queries.select(query).where(F.col(query).isNotNull()).distinct().withColumn("_p", prefix(query)).withColumn("_q", rest(query, "_p"))
+    n = names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_np", prefix(name)).withColumn("_n", rest(name, "_np"))
+    q, n = cut_lineage(q), cut_lineage(n)  # read for each distance and for the result
+    todo, known = q.select("_p", "_q").distinct(), n.select(F.col("_np").alias("_p"), "_n").distinct()
+    found = None
+    for most in (1, 3):
+        if most == 1:
+            near = _one_edit(todo, known, ["_p"], "_q", "_n")
+        else:
+            near = edit_join(todo, known.withColumnRenamed("_p", "_np"), "_q", "_n", most, F.col("_p"), F.col("_np")).select("_p", "_q", "_n", "lv")
+        near = cut_lineage(near)
+        found = near if found is None else found.unionByName(near)
+        todo = cut_lineage(todo.join(near, ["_p", "_q"], "left_anti"))
+        if todo.isEmpty():
+            break
+    else:  # far from every name: the least distance first, without keeping the pairs, then the names at it
+        pairs = spread_join(todo, known, ["_p"])
+        least = pairs.groupBy("_p", "_q").agg(F.min(F.levenshtein("_q", "_n")).alias("lv"))
+        found = found.unionByName(spread_join(least, known, ["_p"]).where(F.levenshtein("_q", "_n") == F.col("lv")).select("_p", "_q", "_n", "lv"))
+    least = found.groupBy("_p", "_q").agg(F.min("lv").alias("_least"))
+    best = found.join(least, ["_p", "_q"]).where("lv = _least").select("_p", "_q", "_n", "lv")
+    return q.join(best, ["_p", "_q"]).join(n.withColumnRenamed("_np", "_p"), ["_p", "_n"]).select(query, name, "lv")
 
 
 def chain_column(df: DataFrame, columns: list[str], values: tuple[str, ...] = ("TRA", "TRB"), rows: int = 100) -> str:

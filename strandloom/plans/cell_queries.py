@@ -12,7 +12,7 @@ from strandloom.operators.annotation import with_attributes
 from strandloom.plans import plotdata
 from strandloom.plans.read_queries import _AA, _MATCH, _PAIRS, _pairs, _refs, _seq_pairs
 from strandloom.plans.annotation_queries import _R
-from strandloom.session import table
+from strandloom.session import cut_lineage, table
 from strandloom.sources.files import in_ranges
 
 
@@ -184,7 +184,7 @@ def samples_any_false(spark: SparkSession, d: str) -> DataFrame:
 
 def names_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The names of genes nearest to each gene's name with its last letter changed."""
-    names = with_attributes(table(spark, d, "gtf").drop("exon_number"), ["gene_name"]).select("gene_name").where("gene_name is not null").distinct()
+    names = cut_lineage(with_attributes(table(spark, d, "gtf").drop("exon_number"), ["gene_name"]).select("gene_name").where("gene_name is not null").distinct())  # read on both sides, and the attributes are dear to parse
     asked = names.select(F.concat(F.col("gene_name"), F.lit("x")).alias("asked"))
     return fuzzy.nearest_names(asked, names, "asked", "gene_name")
 
