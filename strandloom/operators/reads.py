@@ -47,74 +47,100 @@ def qc_counts(pairs: DataFrame, steps: dict[str, dict[str, Column]]) -> DataFram
     return pairs.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
 
 
-#: Lengths of the words that reads and references are joined by, from the least.
-SEEDS = (4, 8, 12, 16)
+#: Lengths of single words that reads and references are joined by, from the least.
+SEEDS = (1, 4, 8, 12, 16)
 
+#: Parts shorter than this give way to pairs of words, of at most so many letters each, for reads with at most so many mismatches.
+SHORT, PAIR, PAIR_MOST = 12, 5, 3
 
 #: Letters of a reference that stand together in one row.
 CHUNK = 4096
 
+#: Rows, and letters in them, up to which places and matches are broadcast; they are counted before.
+FEW_ROWS, FEW_LETTERS = 200_000, 16_000_000
 
-def match_sequences(reads: DataFrame, refs: DataFrame, most: float, read: str = "seq", ref: str = "ref_seq") -> DataFrame:
-    """Rows (*reads' columns, *refs' columns), distinct: each read that occurs in a reference with at most ``most`` substitutions.
 
-    Below 1, ``most`` is a share of the read's length; a read never mismatches whole. With k mismatches one of k + 1 parts of the read must occur exactly:
-    the beginning of each part, of the greatest length of ``SEEDS`` that fits, is joined with the words of that length in the references, and the
-    candidates' places are verified. So no link is lost and no pair without a common word is looked at. Null and empty sequences match nothing.
+def _small(df: DataFrame, text: str | None = None) -> DataFrame:
+    """A written table, marked for broadcast if it is small."""
+    size = df.agg(F.count("*").alias("n"), (F.sum(F.length(text)) if text else F.lit(0)).alias("letters")).first()
+    return F.broadcast(df) if size["n"] <= FEW_ROWS and (size["letters"] or 0) <= FEW_LETTERS else df
 
-    References are cut into chunks that overlap by the longest read; a word is a hash with the place it has, and only a candidate's place meets its chunk, so no
-    reference is carried along. A chunk is one row, so a chunk that very many candidates fall into is a skewed partition that AQE splits. Which lengths of words and which overlap are needed is asked of the distinct
-    reads, which are written once, as the chunks are, when this is called (at most six numbers).
-    """
-    q = reads.select(F.col(read).alias("_q")).where(F.length("_q") > 0).distinct()
-    n, k = F.length("_q"), F.least((F.floor(F.length("_q") * F.lit(most)) if most < 1 else F.lit(int(most))).cast("int"), F.length("_q") - 1)
+
+def _matches(reads: DataFrame, refs: DataFrame, most: float) -> DataFrame:
+    """Rows (_in, _q, _ref_id), distinct: reads (_in, _q) that occur in references (_in, _ref_id, _text) of the same _in, as ``match_sequences`` has it. It is written, and broadcast if small."""
+    q = reads.where(F.length("_q") > 0).distinct().withColumn("_qid", F.monotonically_increasing_id())
+    q = cut_lineage(q)  # read several times, and often dear to make; the ids stay
+    n = F.length("_q")
+    k = F.least((F.floor(n * F.lit(most)) if most < 1 else F.lit(int(most))).cast("int"), n - 1)
     q = q.withColumn("_k", k).withColumn("_part", F.floor(n / (F.col("_k") + 1)).cast("int"))
-    width = F.lit(1)
-    for w in SEEDS:
+    q = q.withColumn("_two", (F.col("_part") < SHORT) & (F.col("_k") <= PAIR_MOST) & (n >= F.col("_k") + 2))
+    width = F.lit(SEEDS[0])
+    for w in SEEDS[1:]:
         width = F.when(F.col("_part") >= w, w).otherwise(width)
-    q = q.withColumn("_w", width)
-    q = cut_lineage(q)  # read several times, and often dear to make
-    need = q.agg(F.collect_set("_w").alias("widths"), F.max(n).alias("longest")).first()
+    q = q.withColumn("_w", F.when(F.col("_two"), F.least(F.lit(PAIR), F.floor(n / (F.col("_k") + 2)).cast("int"))).otherwise(width).cast("int"))
+    need = q.agg(F.collect_set(F.struct("_w", F.when(F.col("_two"), F.col("_k")).otherwise(-1).alias("k"))).alias("shapes"), F.max(n).alias("longest")).first()
+    shapes = sorted({(x["_w"], gap) for x in need["shapes"] for gap in ([0] if x["k"] < 0 else [x["_w"] * i for i in range(1, x["k"] + 2)])})
     longest = need["longest"] or 1
-    size = max(CHUNK, longest + max(SEEDS))
+    size = max(CHUNK, longest)
 
-    d = refs.where(F.length(ref) > 0).distinct().withColumn("_ref_id", F.md5(ref))
-    texts = d.select(F.col("_ref_id").alias("seqname"), F.col(ref).alias("seq")).distinct()
-    chunks = chunk_sequences(texts, size, longest + max(SEEDS)).select(F.col("seqname").alias("_id"), F.col("chunk_no").alias("_chunk"), F.col("seq").alias("_text"))
-    chunks = cut_lineage(chunks)  # read for each length of words and for the candidates
+    texts = refs.where(F.length("_text") > 0).distinct().withColumn("_id", F.monotonically_increasing_id())
+    chunks = chunk_sequences(texts.select(F.struct("_in", "_ref_id", "_id").alias("seqname"), F.col("_text").alias("seq")), size, longest).select("seqname.*", F.col("chunk_no").alias("_chunk"), F.col("seq").alias("_text"))
+    chunks = cut_lineage(chunks)  # read for each shape of words and for the candidates
+    key = lambda text, at, w, gap: F.xxhash64(F.col("_in"), w, gap, F.substr(text, at, w), F.substr(text, at + gap, w))
     words = None
-    for w in sorted(need["widths"]):
-        last = F.least(F.lit(size), F.length("_text") - w + 1)
-        spots = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda p: F.struct(p.alias("p"), F.xxhash64(F.substr(F.col("_text"), p, F.lit(w))).alias("h")))
-        own = chunks.select("_id", "_chunk", F.lit(w).alias("_w"), F.explode(F.when(last >= 1, spots)).alias("_s")).select("_id", "_w", F.col("_s.h").alias("_h"), (F.col("_chunk") * size + F.col("_s.p")).alias("_pos"))
+    for w, gap in shapes:
+        last = F.least(F.lit(size), F.length("_text") - (w + gap) + 1)
+        spots = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda p: F.struct(p.alias("p"), key(F.col("_text"), p, F.lit(w), F.lit(gap)).alias("h")))
+        own = chunks.select("_id", "_chunk", F.explode(F.when(last >= 1, spots)).alias("_s")).select(F.col("_s.h").alias("_h"), "_id", (F.col("_chunk") * size + F.col("_s.p")).alias("_pos"))
         words = own if words is None else words.unionByName(own)
-    found = None
-    if words is not None:
-        seeds = q.select("_q", "_k", "_w", F.explode(F.transform(F.sequence(F.lit(0), F.col("_k")), lambda i: i * F.col("_part"))).alias("_off"))
-        seeds = seeds.select("_q", "_k", "_off", "_w", F.xxhash64(F.substr(F.col("_q"), F.col("_off") + 1, F.col("_w"))).alias("_h"))
-        places = spread_join(seeds, words, ["_w", "_h"]).select("_q", "_k", "_id", (F.col("_pos") - F.col("_off")).alias("_at")).where("_at >= 1").distinct()
-        places = places.withColumn("_chunk", F.floor((F.col("_at") - 1) / size).cast("bigint"))
-        there = F.substr(F.col("_text"), (F.col("_at") - F.col("_chunk") * size).cast("int"), F.length("_q"))
-        met = places.join(chunks, ["_id", "_chunk"]).select("_q", "_k", "_id", there.alias("_there"))
-        found = met.where((F.length("_there") == F.length("_q")) & ((F.col("_there") == F.col("_q")) | (hamming(F.col("_there"), F.col("_q")) <= F.col("_k")))).select("_q", "_id").distinct()
-    else:
-        found = q.select("_q", F.lit("").alias("_id"))  # no read at all
-    out = reads.distinct().join(found, F.col(read) == F.col("_q")).join(d, F.col("_id") == F.col("_ref_id"))
+    if words is None:  # no read at all
+        return q.select("_in", "_q", F.lit("").alias("_ref_id"))
+    steps = lambda f: F.transform(F.sequence(F.lit(0), F.col("_k")), f)
+    spot = lambda off, gap: F.struct(off.cast("int").alias("off"), gap.cast("int").alias("gap"))
+    pairs = F.flatten(steps(lambda i: F.transform(F.sequence(i + 1, F.col("_k") + 1), lambda j: spot(i * F.col("_w"), (j - i) * F.col("_w")))))
+    seeds = q.select("_in", "_q", "_qid", "_w", F.explode(F.when(F.col("_two"), pairs).otherwise(steps(lambda i: spot(i * F.col("_part"), F.lit(0))))).alias("_s"))
+    seeds = seeds.select(key(F.col("_q"), F.col("_s.off") + 1, F.col("_w"), F.col("_s.gap")).alias("_h"), "_qid", F.col("_s.off").alias("_off"))
+    places = spread_join(seeds, words, ["_h"], few=True).select("_qid", "_id", (F.col("_pos") - F.col("_off")).alias("_at")).where("_at >= 1").distinct()
+    places = _small(cut_lineage(places))
+    met = q.select("_qid", F.col("_in").alias("_of"), "_q", "_k").join(places, "_qid").withColumn("_chunk", F.floor((F.col("_at") - 1) / size).cast("bigint")).join(chunks, ["_id", "_chunk"])
+    there = F.substr(F.col("_text"), (F.col("_at") - F.col("_chunk") * size).cast("int"), F.length("_q"))
+    met = met.where(F.col("_of").eqNullSafe(F.col("_in"))).select("_in", "_q", "_k", "_ref_id", there.alias("_there"))
+    found = met.where((F.length("_there") == F.length("_q")) & ((F.col("_there") == F.col("_q")) | (hamming(F.col("_there"), F.col("_q")) <= F.col("_k")))).select("_in", "_q", "_ref_id").distinct()
+    return _small(cut_lineage(found), "_q")
+
+
+def match_sequences(reads: DataFrame, refs: DataFrame, most: float, read: str = "seq", ref: str = "ref_seq") -> DataFrame:
+    """Rows (*reads' columns, *refs' columns), distinct: each read that occurs in a reference with at most ``most`` substitutions.
+
+    Below 1, ``most`` is a share of the read's length; a read never mismatches whole. With k mismatches one of k + 1 parts of the read must occur exactly:
+    the beginning of each part, of the greatest length of ``SEEDS`` that fits, is joined with the words of that length in the references. Words of less than ``SHORT`` letters
+    would meet by chance in nearly every reference; there two of k + 2 words must occur exactly, each at its place, and pairs of words are joined. The
+    candidates' places are verified. So no link is lost and no pair without common words is looked at. Null and empty sequences match nothing.
+
+    References are cut into chunks that overlap by the longest read; a word is a hash with the place it has, and only a candidate's place meets its chunk and its read, so neither
+    is carried along. A chunk is one row, so a chunk that very many candidates fall into is a skewed partition that AQE splits. Distinct reads, chunks, candidates and
+    matches are written once when this is called; the lengths of words, the overlap, and whether candidates and matches are few enough to be broadcast are asked of these.
+    """
+    d = refs.where(F.length(ref) > 0).distinct().withColumn("_ref_id", F.md5(ref))
+    found = _matches(reads.select(F.lit("").alias("_in"), F.col(read).alias("_q")), d.select(F.lit("").alias("_in"), "_ref_id", F.col(ref).alias("_text")), most)
+    out = reads.distinct().join(found, F.col(read) == F.col("_q")).join(d.withColumnRenamed("_ref_id", "_own_id"), F.col("_ref_id") == F.col("_own_id"))
     return out.select(*reads.columns, *refs.columns)
 
 
-def match_pairs(pairs: DataFrame, refs: DataFrame, most: float) -> DataFrame:
+def match_pairs(pairs: DataFrame, refs: DataFrame, most: float, rows: DataFrame | None = None) -> DataFrame:
     """Rows (ref_name, ref_ind, read_ind, in_r1, in_r2): references that a read's first mate, or the reverse complement of its second, occurs in.
 
-    Distinct sequences are matched once and joined back to their reads. refs: ref_name, ref_ind, ref_seq.
+    Distinct sequences are matched once, those of both mates together, and joined back to their reads. refs: ref_name, ref_ind, ref_seq.
+    ``rows`` (mate, seq) are those that the pairs were made of: with them distinct sequences are found without making the pairs a second time; sequences that no pair has give no row.
     """
-    sides = []
-    for m in ("r1", "r2"):
-        own = pairs.where(F.length(f"{m}_seq") > 0).select("read_ind", F.col(f"{m}_seq").alias("seq"))
-        base = refs.withColumn("ref_seq", revcomp("ref_seq")) if m == "r2" else refs
-        hits = match_sequences(own.select("seq").distinct(), base, most).select("seq", "ref_name", "ref_ind")
-        sides.append(own.join(hits, "seq").select("ref_name", "ref_ind", "read_ind", F.lit(m).alias("m")))
-    both = sides[0].unionByName(sides[1]).groupBy("ref_name", "ref_ind", "read_ind")
+    mates = F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"{m}_seq").alias("seq")) for m in ("r1", "r2")])
+    own = pairs.select("read_ind", F.inline(mates)).where(F.length("seq") > 0)
+    seqs = own.select(F.col("m").alias("_in"), F.col("seq").alias("_q")) if rows is None else rows.where(F.col("mate").isin("r1", "r2")).select(F.col("mate").alias("_in"), F.col("seq").alias("_q"))
+    sides = F.array(F.struct(F.lit("r1").alias("_in"), F.col("ref_seq").alias("_text")), F.struct(F.lit("r2").alias("_in"), revcomp("ref_seq").alias("_text")))
+    d = refs.where(F.length("ref_seq") > 0).distinct().withColumn("_ref_id", F.md5("ref_seq"))
+    found = _matches(seqs, d.select("_ref_id", F.inline(sides)), most)
+    hits = own.join(found, (F.col("m") == F.col("_in")) & (F.col("seq") == F.col("_q"))).select("read_ind", "m", "_ref_id")
+    both = hits.join(d, "_ref_id").groupBy("ref_name", "ref_ind", "read_ind")
     return both.agg(F.bool_or(F.col("m") == "r1").alias("in_r1"), F.bool_or(F.col("m") == "r2").alias("in_r2"))
 
 

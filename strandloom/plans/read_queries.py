@@ -123,7 +123,7 @@ def reads_matched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reads_matched_two_off(spark: SparkSession, d: str) -> DataFrame:
-    return reads.match_pairs(_pairs(spark, d), _refs(spark, d), 2)
+    return reads.match_pairs(_seq_pairs(spark, d), _refs(spark, d), 2, _reads(spark, d))
 
 
 def reads_matched_mutated(spark: SparkSession, d: str) -> DataFrame:

@@ -90,3 +90,61 @@ def test_nearest_names_of_a_large_block(spark, monkeypatch):
     got = fuzzy.nearest_names(asked, names, "a", "b")
     assert got.where("a = concat(b, 'x') and lv = 1").count() == got.count() == 3000
     assert compared and sum(compared) < 30_000  # all with all would be 9,000,000
+
+
+def _occurs(s, r, k):
+    return any(sum(a != b for a, b in zip(s, r[j : j + len(s)])) <= k for j in range(len(r) - len(s) + 1))
+
+
+def test_short_reads_meet_few_references(spark, monkeypatch):
+    """Reads of 20 letters with two mismatches: words of a few letters would bring together nearly every read and reference; all links are found among far fewer places."""
+    rng = random.Random(23)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    refs = [text(150) for _ in range(60)]
+
+    def near(n):
+        at, r = rng.randint(0, 150 - n), rng.choice(refs)
+        s = list(r[at : at + n])
+        for _ in range(rng.randint(0, 3)):
+            s[rng.randrange(n)] = rng.choice("ACGTN")
+        return "".join(s)
+
+    seqs = sorted({near(n) for n in (20, 21, 26, 33, 36, 47, 50, 75) for _ in range(15)} | {text(rng.randint(20, 24)) for _ in range(150)})
+    joined, join = [], reads.spread_join
+
+    def counted(*args, **options):
+        out = join(*args, **options)
+        joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(reads, "spread_join", counted)
+    found = reads.match_sequences(spark.createDataFrame([(s,) for s in seqs], "seq string"), spark.createDataFrame(list(enumerate(refs)), "ref_ind int, ref_seq string"), 2)
+    assert {(r.seq, r.ref_ind) for r in found.collect()} == {(s, i) for s in seqs for i, r in enumerate(refs) if _occurs(s, r, 2)}
+    assert sum(joined) < 3000  # by words of four letters over 20,000
+
+
+def test_any_number_of_mismatches(spark, monkeypatch):
+    """Every shape of words, references longer than a chunk, odd letters: as by brute force."""
+    monkeypatch.setattr(reads, "CHUNK", 40)
+    rng = random.Random(24)
+    text = lambda n: "".join(rng.choice("ACé") for _ in range(n))
+    refs = [text(n) for n in (1, 5, 39, 40, 41, 90, 170)]
+    seqs = sorted({text(n) for n in range(1, 8)} | {r[a : a + n] for r in refs for n in (2, 7, 11, 17, 30, 40, 55) for a in (0, 3, 36) if a + n <= len(r)})
+    seqs += sorted({"".join(rng.choice("ACé") if rng.random() < 0.06 else c for c in s) for s in seqs} - set(seqs))
+    q, d = spark.createDataFrame([(s,) for s in seqs], "seq string"), spark.createDataFrame(list(enumerate(refs)), "ref_ind int, ref_seq string")
+    for most in (0, 1, 3, 5, 0.15):
+        want = {(s, i) for s in seqs for i, r in enumerate(refs) if _occurs(s, r, min(int(len(s) * most) if most < 1 else most, len(s) - 1))}
+        assert {(r.seq, r.ref_ind) for r in reads.match_sequences(q, d, most).collect()} == want
+
+
+def test_pairs_matched_together(spark, monkeypatch):
+    """First mates meet references, second ones their reverse complements, not the other way round; with and without broadcasts, and with the rows the pairs were made of."""
+    refs = spark.createDataFrame([("a", 1, "ACCGTTGACCAGTAAC"), ("b", 2, "ACCGTTGACCAGTAAC"), ("b", 3, "TTTTTTTTTTGGGGGG")], "ref_name string, ref_ind long, ref_seq string")
+    rows = [(1, "r1", "CCGTTGAC"), (1, "r2", "GTCAACGG"), (2, "r2", "CCGTTGAC"), (3, "r1", "CCCCAAAA"), (3, "r2", "CCCCAAAA"), (4, "r1", None), (4, "r2", "")]
+    r = spark.createDataFrame([(*x, x[2], 0) for x in rows], "read_ind long, mate string, seq string, qual string, arrived_at int")
+    p = reads.pair_reads(r, ("seq",))
+    want = [("a", 1, 1, True, True), ("b", 2, 1, True, True), ("b", 3, 3, False, True)]
+    for few in (reads.FEW_ROWS, 0):
+        monkeypatch.setattr(reads, "FEW_ROWS", few)
+        for more in (None, r):
+            assert sorted(map(tuple, reads.match_pairs(p, refs, 0, more).collect())) == want
