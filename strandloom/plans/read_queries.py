@@ -130,7 +130,7 @@ def reads_matched_mutated(spark: SparkSession, d: str) -> DataFrame:
     """References with one base changed, and every other one with two: reads match them with one or two substitutions."""
     other = lambda at: F.concat(F.substr(F.col("ref_seq"), F.lit(1), F.lit(at - 1)), F.translate(F.substr(F.col("ref_seq"), F.lit(at), F.lit(1)), "ACGT", "CGTA"), F.substr(F.col("ref_seq"), F.lit(at + 1)))
     refs = _refs(spark, d).withColumn("ref_seq", other(40)).withColumn("ref_seq", F.when(F.col("ref_ind") % 2 == 1, other(90)).otherwise(F.col("ref_seq")))
-    return reads.match_pairs(_pairs(spark, d), refs, 2)
+    return reads.match_pairs(_seq_pairs(spark, d), refs, 2, _reads(spark, d))
 
 
 def reads_statistics(spark: SparkSession, d: str) -> DataFrame:

@@ -148,3 +148,34 @@ def test_pairs_matched_together(spark, monkeypatch):
         monkeypatch.setattr(reads, "FEW_ROWS", few)
         for more in (None, r):
             assert sorted(map(tuple, reads.match_pairs(p, refs, 0, more).collect())) == want
+
+
+def test_mutated_references_by_query(spark, tmp_path):
+    """The queries with mismatches, by brute force; qualities are not read for them."""
+    from strandloom.functions.seqexpr import revcomp
+    from strandloom.plans import read_queries
+
+    rng = random.Random(25)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    other = lambda s, *at: "".join(c.translate(str.maketrans("ACGT", "CGTA")) if i + 1 in at else c for i, c in enumerate(s))
+    back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    refs = {i: text(150) for i in (1, 2, 4)}
+    mates = {i: (s, None) for i, s in refs.items()}
+    for i in range(5, 45):
+        s, n = refs[rng.choice([1, 2, 4])], rng.choice([20, 30, 40, 75])
+        at = rng.randint(0, 150 - n)
+        mates[i] = (other(s[at : at + n], rng.randint(1, n)), back(s[at : at + n]))
+    rows = [(i, m, s, "I" * len(s or ""), 0) for i, pair in mates.items() for m, s in zip(("r1", "r2"), pair)]
+    spark.createDataFrame(rows, "read_ind long, mate string, seq string, qual string, arrived_at int").write.parquet(f"{tmp_path}/reads.parquet")
+    assert spark.range(1).select(revcomp(F.lit(refs[1]))).first()[0] == back(refs[1])
+    for name, changed in (("reads_matched_two_off", lambda i, s: s), ("reads_matched_mutated", lambda i, s: other(s, 40, *([90] if i % 2 else [])))):
+        want = set()
+        for i, s in refs.items():
+            t = changed(i, s)
+            for r, (a, b) in mates.items():
+                hit = (bool(a) and _occurs(a, t, 2), bool(b) and _occurs(b, back(t), 2))
+                if any(hit):
+                    want.add((f"set{i % 3}", i, r, *hit))
+        found = read_queries.QUERIES[name](spark, str(tmp_path))
+        assert {tuple(r) for r in found.collect()} == want
+        assert "qual" not in _plan(found)
